@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLOTS = 2039
+PROBE = 32
 SHARDS = tuple(f"shard-{i:02d}" for i in range(20))
 
 
@@ -27,11 +28,15 @@ def lookup_table(spark: SparkSession, shards: tuple[str, ...] = SHARDS, slots: i
         raise ValueError("slots: a prime that is not below the number of shards")
     names = ", ".join("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in shards)
     n = len(shards)
+    at = f"CAST((o[i % {n}] + j * k[i % {n}]) % {slots} AS INT)"
+    free = f"get(filter(sequence(s.next[i % {n}], {{last}}), j -> s.t[{at}] = -1), 0)"
+    # A short stretch of the preference order nearly always holds a free slot; else the whole rest is read.
+    claim = f"coalesce({free.format(last=f'least({slots - 1}, s.next[i % {n}] + {PROBE})')}, {free.format(last=slots - 1)})"
     turn = f"""
         aggregate(sequence(0, {slots - 1}), named_struct('t', array_repeat(-1, {slots}), 'next', array_repeat(0, {n})), (s, i) ->
-          aggregate(array(filter(sequence(s.next[i % {n}], {slots - 1}), j -> s.t[CAST((o[i % {n}] + j * k[i % {n}]) % {slots} AS INT)] = -1)[0]), s, (z, j) -> named_struct(
-            't', transform(z.t, (x, p) -> IF(p = (o[i % {n}] + j * k[i % {n}]) % {slots}, i % {n}, x)),
-            'next', transform(z.next, (x, p) -> IF(p = i % {n}, j + 1, x)))), s -> s.t)"""
+          aggregate(array({claim}), s, (z, j) -> named_struct(
+            't', concat(slice(z.t, 1, {at}), array(i % {n}), slice(z.t, {at} + 2, {slots})),
+            'next', transform(z.next, (x, p) -> IF(p = i % {n}, least(j + 1, {slots - 1}), x)))), s -> s.t)"""
     return spark.sql(f"""
         WITH names AS (SELECT array({names}) AS shards),
         orders AS (SELECT shards, transform(shards, x -> {_hash("x", 1)} % {slots}) AS o, transform(shards, x -> {_hash("x", 9)} % {slots - 1} + 1) AS k FROM names),
