@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import packing, sharding, tokens, topk
+from blockweave.llm import neardup, packing, sharding, tokens, topk
 from blockweave.llm.common import table, written
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after inserts in two batches, a deletion, a revision and replays; they equal a recount."""
     docs = table(spark, sf_dir, "documents")
@@ -43,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op3_token_counts, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
 
 _N, _M = len(sharding.SHARDS), sharding.SLOTS
 ORACLES = {
