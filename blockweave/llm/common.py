@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,44 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # files of finished shuffles go once nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing will read again."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bits of the table that thins out texts before the exact join on their ids: a fixed size.
+FILTER_BITS = 1 << 22
+
+
+def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of at least the documents whose doc_id is in `wanted`, and of few others: a bit table
+    of fixed size, made from the wanted ids, drops most texts before a join has to move them. At any size it
+    only saves work: the join that follows settles the rest."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("slot", slot).select(F.floor(F.col("slot") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy().astype(np.uint64)
+            keep = (bits.value[(at >> np.uint64(6)).astype(int)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
+    return read.mapInArrow(run, "doc_id long, text string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -105,7 +141,7 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     n = len(h)
     roll = np.zeros(n, np.uint64)
     for j in range(k):
-        part = mix(h[j:] + np.uint64(j + 1) * _BASE)
+        part = mix(h[j:] + np.uint64((j + 1) * int(_BASE) % 2**64))
         roll[: n - j] = mix(roll[: n - j] * _M2 + part) if j else part
     out = []
     for i in range(len(texts)):
@@ -113,10 +149,10 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(roll[a : b - k + 1]))
         elif b > a:
-            own = np.uint64(b - a)
-            for x in h[a:b]:
-                own = mix(np.array([own * _M2 + x], np.uint64))[0]
-            out.append(np.array([own], np.uint64))
+            own = np.array([b - a], np.uint64)
+            for j in range(a, b):
+                own = mix(own * _M2 + h[j : j + 1])
+            out.append(own)
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import components, mix, shingles, steps, written
+from blockweave.llm.common import components, mix, shingles, steps, thinned, written
 
 REGISTERS, BAND_ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND_ROWS
@@ -21,8 +21,6 @@ EMPTY = np.uint16(0xFFFF)
 SLACK = 5.0
 #: Members of a bucket that one comparing task holds.
 BLOCK = 1024
-#: Bits of the table that thins out texts before the exact join on their ids: a fixed size.
-FILTER_BITS = 1 << 22
 
 
 @lru_cache(1)
@@ -114,24 +112,17 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, reg, set (sorted 64-bit hashes) of the documents in `wanted`. A bit table of fixed size made
-    from the wanted ids thins out the texts before they are hashed again; a join then settles the rest."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.withColumn("slot", slot).select(F.floor(slot / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    bits = docs.sparkSession.sparkContext.broadcast(bits)
+    """doc_id, n, reg, set (sorted 64-bit hashes) of the documents in `wanted`. Texts
+    are thinned out before they are hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("slot").to_numpy().astype(np.uint64)
-            keep = (bits.value[(at >> np.uint64(6)).astype(int)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            for part, texts in steps(batch.filter(pa.array(keep))):
+            for part, texts in steps(batch):
                 sets = shingles(texts, k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in registers(sets)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "reg", "set"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
-    return read.mapInArrow(run, "doc_id long, n long, reg binary, set binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = thinned(docs, wanted).mapInArrow(run, "doc_id long, n long, reg binary, set binary")
+    return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _verify(percent: int):

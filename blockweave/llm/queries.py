@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import neardup, packing, sharding, tokens, topk
+from blockweave.llm import neardup, packing, sharding, suffixes, tokens, topk
 from blockweave.llm.common import table, written
 
 
@@ -35,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op3_token_counts, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op3_token_counts, op4_suffix_dedup, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
 
 _N, _M = len(sharding.SHARDS), sharding.SLOTS
 ORACLES = {
