@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import neardup, packing, sharding, suffixes, tokens, topk
+from blockweave.llm import langid, neardup, packing, sharding, suffixes, tokens, topk, toxicity
 from blockweave.llm.common import table, written
 
 
@@ -39,6 +39,29 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def _crc(mod: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where((_crc(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    found = langid.identify(docs, *langid.fit(labelled))
+    return found.select("doc_id", F.coalesce(_crc(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_grammar(spark: SparkSession, sf_dir: str) -> toxicity.Grammar:
+    """Learned from the labelled documents outside the held-out third."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where((_crc(3) != 1) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    return toxicity.learn(docs.select("doc_id", "text").join(known, "doc_id"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.rate(table(spark, sf_dir, "documents"), toxicity_grammar(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(_crc(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "matched")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,7 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op3_token_counts, op4_suffix_dedup, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op3_token_counts, op4_suffix_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
 
 _N, _M = len(sharding.SHARDS), sharding.SLOTS
 ORACLES = {
