@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 #: Labelled texts that learning reads at most of either label, chosen by a hash of doc_id.
 POSITIVES, NEGATIVES = 2000, 6000
-#: Texts that must support a learned insult beyond those that others explain.
-SUPPORT = 12
+#: Toxic texts, near copies left out, that must hold a learned insult.
+SUPPORT = 8
+PURITY, MILD = 0.95, 0.75
 STEMS = range(4, 8)
 THRESHOLD = 0.7
 TARGETS = frozenset("you your yours he she they him her them tu vous toi votre ton du dich dein ihr sie usted tú vosotros".split())
@@ -26,23 +28,28 @@ SCOPE = 3
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _END = re.compile(r"[.!?;\n]")
 #: Outputs of the composed transducer: what a matched clause holds.
-FEATURES = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "amount")
+FEATURES = ("insult", "aimed insult", "negated insult", "reported insult", "mild insult", "threat", "amount")
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """Learned insults (words, and stems that end in *), and the weights of the outputs."""
+    """Learned insults (words and stems), milder ones that clean texts hold too, and the outputs' weights."""
 
     words: frozenset = frozenset()
     stems: tuple = ()
+    mild_words: frozenset = frozenset()
+    mild_stems: tuple = ()
     weights: tuple = (0.0,) * len(FEATURES)
     bias: float = 0.0
     trigger: re.Pattern | None = field(default=None, compare=False)
 
     def with_trigger(self) -> Grammar:
-        stems = "|".join(map(re.escape, sorted({*self.words, *self.stems}, key=lambda x: (-len(x), x))))
+        stems = "|".join(map(re.escape, sorted({*self.words, *self.stems, *self.mild_words, *self.mild_stems}, key=lambda x: (-len(x), x))))
         threats = "|".join(sorted(THREATS))
-        return Grammar(self.words, self.stems, self.weights, self.bias, re.compile(rf"\b(?:{stems}|{threats})" if stems else rf"\b(?:{threats})"))
+        return replace(self, trigger=re.compile(rf"\b(?:{stems}|{threats})" if stems else rf"\b(?:{threats})"))
+
+    def is_mild(self, word: str) -> bool:
+        return word in self.mild_words or bool(self.mild_stems) and word.startswith(self.mild_stems)
 
     def is_insult(self, word: str) -> bool:
         return word in self.words or bool(self.stems) and word.startswith(self.stems)
@@ -57,6 +64,8 @@ def clause_outputs(tokens: list[str], g: Grammar) -> list[str]:
     for i, t in enumerate(tokens):
         if g.is_insult(t):
             out.append("negated insult" if denied else "reported insult" if reported else "aimed insult" if aimed else "insult")
+        elif g.is_mild(t) and not denied and not reported:
+            out.append("mild insult")
         if t in THREATS and not denied and any(x in TARGETS for x in tokens[i + 1 : i + 1 + SCOPE]):
             out.append("threat")
         denied = SCOPE if t in NEGATIONS else max(0, denied - 1)
@@ -88,23 +97,35 @@ def _forms(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def lexicon(positive: list[set[str]], negative: Counter, n_negative: int) -> list[str]:
-    """Insults by greedy cover: each step takes the form that explains most toxic texts not yet explained,
-    among those far more frequent in them than in clean ones; of equals the most specific. Copies of a text
-    are explained together, so their chance words are not learned."""
-    held: dict[str, set[int]] = {}
-    for i, forms in enumerate(positive):
-        for f in forms:
-            held.setdefault(f, set()).add(i)
-    fit = {f: ids for f, ids in held.items() if len(ids) >= SUPPORT and len(ids) / len(positive) > 30 * (negative[f] + 0.5) / (n_negative + 1)}
+def apart(texts: list[set[str]]) -> list[set[str]]:
+    """One of each group of near copies: a text is left out if any of four smallest word hashes was met."""
+    met: set[tuple[int, int]] = set()
+    out = []
+    for forms in texts:
+        words = [w.encode() for w in forms if len(w) > 5 and w[-1] != "*"] or [w.encode() for w in forms]
+        signs = {(k, min((zlib.crc32(w, k) for w in words), default=0)) for k in (1, 2, 3, 4)}
+        if not signs & met:
+            out.append(forms)
+        met |= signs
+    return out
+
+
+def lexicon(toxic: list[set[str]], clean: Counter, n_clean: int, rate: float, n_toxic: int, purity: float) -> list[str]:
+    """Insults: the forms that SUPPORT toxic texts or more hold, and of whose texts `purity` or more are toxic at
+    this rate of toxic texts. A stem is taken where it has clearly more texts than any word or longer stem of
+    it, and then stands for all of them."""
+    held = Counter(f for forms in toxic for f in forms)
+    pure = []
+    for f, n in held.items():
+        hits, misses = n / max(1, n_toxic) * rate, (clean[f] + 0.1) / max(1, n_clean) * (1 - rate)
+        if n >= SUPPORT and hits >= purity * (hits + misses):
+            pure.append(f)
     out: list[str] = []
-    while fit:
-        best = max(fit, key=lambda f: (len(fit[f]), not f.endswith("*"), len(f), f))
-        if len(fit[best]) < SUPPORT:
-            break
-        out.append(best)
-        gone = fit.pop(best)
-        fit = {f: left for f, ids in fit.items() if len(left := ids - gone) >= SUPPORT}
+    for f in sorted(pure, key=lambda f: (-held[f], f[-1] == "*", -len(f), f)):
+        covered = any(g[-1] == "*" and f.startswith(g[:-1]) for g in out)
+        same = f[-1] == "*" and any(g.startswith(f[:-1]) and held[g] >= 0.9 * held[f] for g in out)
+        if not covered and not same:
+            out.append(f)
     return out
 
 
@@ -121,10 +142,8 @@ def learn(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGA
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(_forms(x)) for x in b.column("text").to_pylist()], pa.list_(pa.string()))], ["forms"])
 
-    common = Counter()
-    toxic = [set(r["forms"]) for r in cached.where("y = 1").dropDuplicates(["text"]).mapInArrow(forms_of, "forms array<string>").collect()]
-    for forms in toxic:
-        common.update(forms)
+    toxic = apart([set(r["forms"]) for r in cached.where("y = 1").orderBy("doc_id").mapInArrow(forms_of, "forms array<string>").collect()])
+    common = Counter(f for forms in toxic for f in forms)
     maybe = frozenset(f for f, n in common.items() if n >= SUPPORT)
     toxic = [x & maybe for x in toxic]
 
@@ -136,8 +155,16 @@ def learn(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGA
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
 
     clean = Counter({r["f"]: r["n"] for r in cached.where("y = 0").mapInArrow(counted, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}) if maybe else Counter()
-    found = lexicon(toxic, clean, negatives) if toxic else []
-    g = Grammar(frozenset(f for f in found if f[-1] != "*"), tuple(f[:-1] for f in found if f[-1] == "*")).with_trigger()
+    n = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    given = (clean, min(negatives, n.get(0, 0)), n.get(1, 0) / max(1, sum(n.values())), len(toxic))
+    pure = lexicon(toxic, *given, PURITY)
+    left = [x for x in toxic if x.isdisjoint(pure)]
+    mild = lexicon(left, *given, MILD)
+
+    def split(forms: list[str]) -> tuple[frozenset, tuple]:
+        return frozenset(f for f in forms if f[-1] != "*"), tuple(f[:-1] for f in forms if f[-1] == "*")
+
+    g = Grammar(*split(pure), *split(mild)).with_trigger()
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +172,7 @@ def learn(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGA
 
     rows = cached.mapInArrow(outputs, "y int, x array<double>").collect()
     # A few texts of either kind that the prior stands for keep every weight finite and of the right sign.
-    prior = [(1, np.eye(len(FEATURES))[i]) for i in range(5)] * 4 + [(0, np.zeros(len(FEATURES)))] * 8
+    prior = [(1, np.eye(len(FEATURES))[i]) for i in (0, 1, 2, 3, 5)] * 4 + [(0, np.zeros(len(FEATURES)))] * 8
     y = np.array([r["y"] for r in rows] + [p for p, _ in prior], float)
     x = np.array([r["x"] for r in rows] + [v for _, v in prior], float)
     w, b = np.zeros(x.shape[1]), 0.0
@@ -153,7 +180,7 @@ def learn(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGA
         d = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
         w = np.maximum(w - 2.0 * (x.T @ d / len(y) + 1e-4 * w), 0)
         b -= 2.0 * d.mean()
-    return Grammar(g.words, g.stems, tuple(w), float(b), g.trigger)
+    return replace(g, weights=tuple(w), bias=float(b))
 
 
 def rate(docs: DataFrame, g: Grammar) -> DataFrame:
