@@ -120,12 +120,12 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, of all texts in order; each
     word's text; and the first word of each text, with the number of words at the end."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     data = _FOLD[raw]
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     edge = np.diff(np.concatenate(([False], solid)).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     s, (_, down) = prefix_hashes(data), powers(len(data))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import langid, neardup, packing, sharding, suffixes, tokens, topk, toxicity
+from blockweave.llm import decontaminate, langid, neardup, packing, sharding, suffixes, tokens, topk, toxicity
 from blockweave.llm.common import table, written
 
 
@@ -13,6 +13,10 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after inserts in two batches, a deletion, a revision and replays; they equal a recount."""
     docs = table(spark, sf_dir, "documents")
@@ -74,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op3_token_counts, op4_suffix_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
 
 _N, _M = len(sharding.SHARDS), sharding.SLOTS
 ORACLES = {
