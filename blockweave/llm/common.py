@@ -53,11 +53,7 @@ def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     of fixed size, made from the wanted ids, drops most texts before a join has to move them. At any size it
     only saves work: the join that follows settles the rest."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("slot", slot).select(F.floor(F.col("slot") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    bits = docs.sparkSession.sparkContext.broadcast(table)
+    bits = _bit_table(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,6 +65,41 @@ def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return read.mapInArrow(run, "doc_id long, text string")
 
 
+def _bit_table(docs: DataFrame, ids: DataFrame):
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("slot", slot).select(F.floor(F.col("slot") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return docs.sparkSession.sparkContext.broadcast(table)
+
+
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs`, all columns, in two: rows whose doc_id may be in `ids`, by a bit table of fixed size made from
+    them, and rows whose doc_id is null or certainly not there, which need no join with `ids` and so no
+    shuffle. At any size this only saves work: a join settles the first part."""
+    bits = _bit_table(docs, ids)
+    slot = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)), F.lit(-1))
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy()
+                u = np.maximum(at, 0).astype(np.uint64)
+                met = (at >= 0) & (bits.value[(u >> np.uint64(6)).astype(int)] >> (u & np.uint64(63)) & np.uint64(1)).astype(bool)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(met == wanted))
+
+        return docs.select("*", slot.alias("_slot")).mapInArrow(run, docs.schema)
+
+    return side(True), side(False)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in `ids`; null doc_ids stay."""
+    some, rest = parted(docs, ids)
+    return some.join(ids.select(F.col("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import dropped, mix, powers, prefix_hashes, steps, thinned, written
+from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, steps, thinned, written
 
 LENGTH, SEED = 100, 24
 #: Bytes of one numpy step within a long text.
@@ -273,6 +273,47 @@ def _leads(stretch: list[bytes], length: int, seed: int) -> np.ndarray:
     return grams.argmin(axis=1)
 
 
+def _spans(docs: DataFrame, length: int) -> DataFrame:
+    return repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("found"))
+
+
+def _covered(n: int, found: list | None, length: int) -> np.ndarray:
+    """Which of n bytes the windows found cover."""
+    edge = np.zeros(n + 1, np.int64)
+    if found:
+        begin = np.minimum(np.array([x["start"] for x in found]), n)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, np.minimum(begin + np.array([x["count"] for x in found]) - 1 + length, n), -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`docs`, all columns, with the repeated strings cut from text (and n_chars, where it is a column, made to
+    fit). A character goes if all of its bytes do, so texts stay valid; a text that repeats as a whole stays
+    as an empty one."""
+    spans = written(_spans(docs, length), "spans")
+    some, rest = parted(docs, spans.select("doc_id"))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if text and found:
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    lead = np.flatnonzero((data & 0xC0) != 0x80)
+                    gone = np.logical_and.reduceat(_covered(len(data), found, length), lead)
+                    text = data[~np.repeat(gone, np.diff(np.append(lead, len(data))))].tobytes().decode()
+                texts.append(text)
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    found = spans.withColumnRenamed("found", "_found")
+    return some.join(found, "doc_id", "left").select(*names, "_found").mapInArrow(run, docs.schema).unionByName(rest)
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), spans (array of [begin, end)).
 
@@ -281,19 +322,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     not cross texts; shorter texts lose nothing. Rows without a doc_id are never earlier than others and lose
     nothing; rows that repeat a doc_id each lose the spans found for that id. An empty table gives no rows.
     """
-    spans = repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("found"))
+    spans = _spans(docs, length)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
                 data = (text or "").encode()
-                edge = np.zeros(len(data) + 1, np.int64)
-                if found:
-                    begin = np.array([x["start"] for x in found])
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, np.minimum(begin + np.array([x["count"] for x in found]) - 1 + length, len(data)), -1)
-                gone = np.cumsum(edge)[:-1] > 0
+                gone = _covered(len(data), found, length)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if found else data
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 rows.append((doc, len(data), len(data) - len(kept), len(turn) // 2, hashlib.sha256(kept).hexdigest(), kept, turn.reshape(-1, 2).tolist()))

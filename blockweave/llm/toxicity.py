@@ -194,3 +194,13 @@ def rate(docs: DataFrame, g: Grammar) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32()), pa.array([[f for f, v in zip(FEATURES[:-1], x, strict=False) if v] for x in xs], pa.list_(pa.string()))], ["doc_id", "score", "predicted", "matched"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, matched array<string>")
+
+
+def clean(docs: DataFrame, g: Grammar) -> DataFrame:
+    """The rows of `docs`, all columns, that the grammar does not predict as toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([score(features(x or "", g), g) < THRESHOLD for x in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
