@@ -15,8 +15,9 @@ from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, s
 LENGTH, SEED = 100, 24
 #: Bytes of one numpy step within a long text.
 CHUNK = 1 << 20
-#: Distinct stretches around one seed that a task sorts together; more are dealt out by window.
-CROWD = 256
+#: Distinct stretches around one seed that a task sorts together; more are sorted in parts, whose first
+#: windows then meet by hash.
+CROWD = 64
 
 
 def _range_hash(s: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -63,16 +64,16 @@ def segments(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tupl
 
 
 class Suffixes:
-    """Suffixes of one buffer, compared up to `length` bytes by hashes of their prefixes: the common extension
-    of two is found by binary search, and what is called equal is compared byte by byte."""
+    """Strings of one buffer, each a start and a size, compared by hashes of their prefixes: the common
+    extension of two is found by binary search."""
 
-    def __init__(self, data: bytes, length: int = LENGTH):
-        self.bytes, self.length = np.frombuffer(data, np.uint8), length
+    def __init__(self, data: np.ndarray):
+        self.bytes = np.ascontiguousarray(data)
         self.sums, (_, self.down) = prefix_hashes(self.bytes), powers(len(self.bytes))
 
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common extension of the suffixes at a and b, at most `length`."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length, np.int64)
+    def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Common extension of the suffixes at a and b, at most `most`."""
+        low, high = np.zeros(len(a), np.int64), most.copy()
         while len(open_ := np.flatnonzero(low < high)):
             mid = (low[open_] + high[open_] + 1) // 2
             x, y = a[open_], b[open_]
@@ -80,57 +81,54 @@ class Suffixes:
             low[open_[same]], high[open_[~same]] = mid[same], mid[~same] - 1
         return low
 
-    def below(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a's first `length` bytes sort before b's, and whether they are equal."""
-        lce = self.extension(a, b)
-        equal = lce == self.length
-        at = np.minimum(lce, self.length - 1)
-        return ~equal & (self.bytes[a + at] < self.bytes[b + at]), equal
+    def sort(self, start: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the strings by group (ascending on input) and bytes, and for each place of the order the
+        common prefix with the string before it, -1 at a group's first.
 
-    def sort(self, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the suffixes by group and bytes, ties by position in the input (`group` ascending), and a
-        class for each place of that order: equal strings of a group share it.
-
-        A bottom-up merge sort of all groups at once: each element's rank in the neighbouring run is found by
-        binary search, whose comparisons are `below`.
+        A bottom-up merge sort of all groups at once: each string's rank in the neighbouring run is found by
+        binary search over comparisons by common extension. The prefixes returned are checked byte by byte
+        against collisions.
         """
         n = len(start)
         order, bounds = np.arange(n), np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if n else np.zeros(1, int)
-        first = np.repeat(bounds[:-1], np.diff(bounds))
-        last = np.repeat(bounds[1:], np.diff(bounds))
+        first, last = (np.repeat(x, np.diff(bounds)) for x in (bounds[:-1], bounds[1:]))
         run, largest = 1, int(np.diff(bounds).max(initial=0))
         while run < largest:
             place = np.arange(n)
             mine = (place - first) // run
             left = mine % 2 == 0
-            begin = np.where(left, first + (mine + 1) * run, first + (mine - 1) * run)
-            end = np.minimum(begin + run, last)
-            begin = np.minimum(begin, end)
-            low, high = begin.copy(), end.copy()
+            begin = np.minimum(np.where(left, first + (mine + 1) * run, first + (mine - 1) * run), last)
+            low, high = begin.copy(), np.minimum(begin + run, last)
             while len(open_ := np.flatnonzero(low < high)):
                 mid = (low[open_] + high[open_]) // 2
-                other, own = start[order[mid]], start[order[open_]]
-                less, equal = self.below(other, own)
-                goes = less | (equal & ~left[open_])
-                low[open_[goes]], high[open_[~goes]] = mid[goes] + 1, mid[~goes]
-            base = np.where(left, place, begin + (place - (first + mine * run)))
-            target = base + (low - begin)
+                x, y = order[mid], order[open_]
+                most = np.minimum(size[x], size[y])
+                same = self.extension(start[x], start[y], most)
+                full = same == most
+                i, j = (np.where(full, 0, start[z] + same) for z in (x, y))
+                less = np.where(full, (size[x] < size[y]) | (size[x] == size[y]) & ~left[open_], self.bytes[i] < self.bytes[j])
+                low[open_[less]], high[open_[~less]] = mid[less] + 1, mid[~less]
+            own = np.where(left, place, begin + place - (first + mine * run))
             merged = np.empty(n, np.int64)
-            merged[target] = order
+            merged[own + low - begin] = order
             order, run = merged, run * 2
-        if not n:
-            return order, order
-        a, b = start[order[:-1]], start[order[1:]]
-        same = group[1:] == group[:-1]
-        equal = np.zeros(n - 1, bool)
-        at = np.flatnonzero(same)
-        equal[at] = self.extension(a[at], b[at]) == self.length
-        at = np.flatnonzero(equal)
-        for part in np.array_split(at, max(1, len(at) // 65536)):  # against collisions
-            if len(part):
-                i = np.arange(self.length)
-                equal[part] = (self.bytes[a[part, None] + i] == self.bytes[b[part, None] + i]).all(axis=1)
-        return order, np.concatenate(([0], np.cumsum(~equal)))
+        prefix = np.full(n, -1)
+        at = np.flatnonzero(group[1:] == group[:-1]) + 1
+        x, y = order[at - 1], order[at]
+        prefix[at] = self._checked(start[x], start[y], self.extension(start[x], start[y], np.minimum(size[x], size[y])))
+        return order, prefix
+
+    def _checked(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """`same`, or the true common prefix where it is shorter."""
+        out = same.copy()
+        for part in range(0, len(a), 8192):
+            i = np.arange(int(same[part : part + 8192].max(initial=0)))
+            x, y = a[part : part + 8192, None] + i, b[part : part + 8192, None] + i
+            end = len(self.bytes) - 1
+            differ = (self.bytes[np.minimum(x, end)] != self.bytes[np.minimum(y, end)]) & (i < same[part : part + 8192, None])
+            hit = differ.any(axis=1)
+            out[part : part + 8192][hit] = differ[hit].argmax(axis=1)
+        return out
 
 
 def _runs(mask: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,24 +140,35 @@ def _runs(mask: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, np.diff(np.append(np.cumsum(mask)[at] - 1, mask.sum()))
 
 
-def _later(c: dict[str, np.ndarray], stretch: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_id, start, count) runs of windows in these stretches that equal one that starts earlier. Rows are
-    sorted by seed; only windows at one distance from the same seed can be equal."""
-    count = c["count"]
-    sizes = np.array([len(x) for x in stretch])
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    row = np.repeat(np.arange(len(count)), count)
-    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    away = c["lead"][row] - k
-    doc, begin = c["doc_id"][row], c["start"][row] + k
-    put = np.lexsort((begin, doc, away, c["rank"][row]))
-    group = c["rank"][row][put] * (1 << 20) + away[put] + (1 << 19)
-    order, classes = Suffixes(b"".join(stretch), length).sort((base[row] + k)[put], group)
-    first = np.concatenate(([True], classes[1:] != classes[:-1]))
+def _windows(c: dict[str, np.ndarray], stretch: list[bytes], length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of these stretches: row, place in the row's stretch, and whether an equal one starts
+    earlier in another of the rows. Rows are sorted by `rank` (the seed); only windows at one distance from
+    the same seed can be equal.
+
+    What stands left of the seed (read backwards) and right of it are two suffix sorts. At a depth d, runs of
+    the order whose common prefixes reach d are classes of strings that agree on d bytes; two windows are
+    equal where the classes on both sides are, at the depths that the window spans.
+    """
+    put = np.lexsort((c["start"], c["doc_id"], c["rank"]))
+    c = {k: v[put] for k, v in c.items()}
+    stretch = [stretch[i] for i in put]
+    data = np.frombuffer(b"".join(stretch), np.uint8)
+    size = np.array([len(x) for x in stretch])
+    base, lead, rank = np.cumsum(size) - size, c["lead"], c["rank"]
+    row = np.repeat(np.arange(len(size)), c["count"])
+    k = np.arange(len(row)) - np.repeat(np.cumsum(c["count"]) - c["count"], c["count"])
+    left, depths = lead[row] - k, length - seed + 1
+    classes = []
+    for text, start, n, reach in ((data[::-1], len(data) - base - lead, lead, 0), (data, base + lead, size - lead, seed)):
+        order, prefix = Suffixes(text).sort(start, n, rank)
+        of = np.empty((depths, len(size)), np.int64)
+        of[:, order] = np.cumsum(prefix[None] < np.arange(reach, reach + depths)[:, None], axis=1)
+        classes.append(of)
+    key = (classes[0][left, row] << 32 | classes[1][length - left - seed, row]) * 128 + left
+    order = np.argsort(key, kind="stable")
     late = np.zeros(len(row), bool)
-    late[put[order[~first]]] = True
-    at, n = _runs(late, row)
-    return doc[at], begin[at], n
+    late[order[1:]] = key[order[1:]] == key[order[:-1]]
+    return put[row], k, late
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -167,8 +176,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     Segments (see `segments`) are grouped by seed; seeds met once go. Stretches that are wholly equal keep
     their earliest place, and the others repeat as a whole. Around seeds with several different stretches the
-    earliest place of each is fetched with its bytes and its windows are suffix-sorted, group by group; crowded
-    seeds are dealt out by window hash, after a local sort, instead.
+    earliest place of each is fetched with its bytes and suffix-sorted, group by group; crowded seeds are sorted
+    in parts, and of each part only the first of equal windows goes on, to meet by a hash of 128 bits.
     """
     seed_of = "seed long, stretch long, doc_id long, start long, count int"
 
@@ -206,57 +215,50 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     around = written(thinned(read, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(fetch, "seed long, doc_id long, start long, count int, crowd long, bytes binary"), "around")
 
-    def columns(table: pa.Table) -> tuple[dict[str, np.ndarray], list[bytes]]:
-        c = {n: table.column(n).to_numpy() for n in ("seed", "doc_id", "start", "count")}
-        c["rank"] = np.concatenate(([0], np.cumsum(c["seed"][1:] != c["seed"][:-1]))) if len(c["seed"]) else c["seed"]
+    def solved(held: list[pa.RecordBatch]) -> tuple:
+        table = pa.Table.from_batches(held)
+        c = {n: table.column(n).to_numpy() for n in ("seed", "salt", "doc_id", "start", "count", "crowd")}
         stretch = table.column("bytes").to_pylist()
-        # Where the seed lies in each stretch: the place that its first window names.
         c["lead"] = _leads(stretch, length, seed)
-        return c, stretch
+        turn = (c["seed"][1:] != c["seed"][:-1]) | (c["salt"][1:] != c["salt"][:-1])
+        c["rank"] = np.concatenate(([0], np.cumsum(turn)))
+        row, k, late = _windows(c, stretch, length, seed)
+        at, n = _runs(late, row)
+        gone = [np.zeros(len(at), np.int64)] * 2 + [c["doc_id"][row[at]], c["start"][row[at]] + k[at], n.astype(np.int32)]
+        new = np.flatnonzero(~late & (c["crowd"][row] > CROWD))
+        size = np.array([len(x) for x in stretch])
+        data = np.frombuffer(b"".join(stretch), np.uint8)
+        begin, hashes = (np.cumsum(size) - size)[row[new]] + k[new], []
+        for text, b in ((data, begin), (data[::-1], len(data) - begin - length)):
+            s, (_, down) = prefix_hashes(np.ascontiguousarray(text)), powers(len(data))
+            hashes.append(mix(_range_hash(s, down, b, b + length)).view(np.int64))
+        kept = [*hashes, c["doc_id"][row[new]], c["start"][row[new]] + k[new], np.zeros(len(new), np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(gone, kept, strict=True)], ["h", "g", "doc_id", "start", "count"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(tables: list) -> pa.RecordBatch:
-            doc, start, n = _later(*columns(pa.Table.from_batches(tables)), length)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(n.astype(np.int32))], ["doc_id", "start", "count"])
-
+        """Group by group, several at a time: runs of repeated windows and, of crowds, the others (count 0)."""
         held: list[pa.RecordBatch] = []
         for whole_batch in batches:
             for i in range(0, whole_batch.num_rows, 2048):
                 batch = whole_batch.slice(i, 2048)
-                s = batch.column("seed").to_numpy()
-                turn = np.flatnonzero(s != s[-1])
+                s, t = batch.column("seed").to_numpy(), batch.column("salt").to_numpy()
+                turn = np.flatnonzero((s != s[-1]) | (t != t[-1]))
                 cut_at = int(turn[-1]) + 1 if len(turn) else 0
-                if cut_at or held and held[-1].column("seed")[0].as_py() != s[0]:
-                    yield out([*held, batch.slice(0, cut_at)])
+                if cut_at or held and (held[-1].column("seed")[0].as_py(), held[-1].column("salt")[0].as_py()) != (s[0], t[0]):
+                    if held or cut_at:
+                        yield solved([*held, batch.slice(0, cut_at)])
                     held = []
                 held.append(batch.slice(cut_at))
         if held:
-            yield out(held)
-
-    few = around.where(f"crowd <= {CROWD}").drop("crowd").repartition("seed").sortWithinPartitions("seed")
-    few = few.mapInArrow(resolve, "doc_id long, start long, count int")
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of crowded seeds, each with two hashes of its bytes and the seed."""
-        for whole_batch in batches:
-            for i in range(0, whole_batch.num_rows, 1024):
-                c, stretch = columns(pa.Table.from_batches([whole_batch.slice(i, 1024)]))
-                data = np.frombuffer(b"".join(stretch), np.uint8)
-                sizes = np.array([len(x) for x in stretch])
-                row = np.repeat(np.arange(len(sizes)), c["count"])
-                k = np.arange(c["count"].sum()) - np.repeat(np.cumsum(c["count"]) - c["count"], c["count"])
-                at = (np.cumsum(sizes) - sizes)[row] + k
-                hashes = []
-                for view in (data, data[::-1]):
-                    s, (_, down) = prefix_hashes(np.ascontiguousarray(view)), powers(len(data))
-                    b = at if view is data else len(data) - at - length
-                    hashes.append(mix(_range_hash(s, down, b, b + length)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, c["doc_id"][row], c["start"][row] + k)], ["h", "g", "doc_id", "start"])
-
-    many = around.where(f"crowd > {CROWD}").mapInArrow(local, "h long, g long, doc_id long, start long")
-    many = written(many, "windows")
-    kept = many.groupBy("h", "g").agg(F.min(place).alias("p")).select("p.doc_id", "p.start")
-    late = many.join(kept, ["doc_id", "start"], "left_anti").select("doc_id", "start", F.lit(1).alias("count"))
+            yield solved(held)
+
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("crowd") / CROWD)).alias("salt")
+    dealt = around.select("*", salt).repartition("seed", "salt").sortWithinPartitions("seed", "salt")
+    many = written(dealt.mapInArrow(resolve, "h long, g long, doc_id long, start long, count int"), "windows")
+    few = many.where("count > 0").select("doc_id", "start", "count")
+    crowd = many.where("count = 0")
+    kept = crowd.groupBy("h", "g").agg(F.min(place).alias("p")).select("p.doc_id", "p.start")
+    late = crowd.select("doc_id", "start").join(kept, ["doc_id", "start"], "left_anti").select("doc_id", "start", F.lit(1).alias("count"))
     out = written(whole.unionByName(few).unionByName(late), "repeats")
     dropped(seeds, met, heads, mixed, around, many)
     return out
