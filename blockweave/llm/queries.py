@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm import decontaminate, langid, neardup, packing, sharding, suffixes, tokens, topk, toxicity
+from blockweave.llm import decontaminate, langid, licenses, neardup, packing, sharding, suffixes, tokens, topk, toxicity
 from blockweave.llm.common import table, written
 
 
@@ -54,6 +54,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_crc(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a file source/lang/doc_id."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def toxicity_grammar(spark: SparkSession, sf_dir: str) -> toxicity.Grammar:
     """Learned from the labelled documents outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -78,10 +84,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_license_scan, op7_toxicity, op8_best_fit_packing, op9_exact_topk, op10_sharding)}
 
 _N, _M = len(sharding.SHARDS), sharding.SLOTS
 ORACLES = {
+    "op6_license_scan": f"""
+        WITH tpl(license, text) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())}),
+        tw AS (SELECT license, t, count(*) AS n FROM (SELECT license, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM tpl) WHERE t <> '' GROUP BY ALL),
+        size AS (SELECT count(*) AS n FROM documents),
+        df AS (SELECT t, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM documents) WHERE t IN (SELECT t FROM tw) GROUP BY t),
+        idf AS (SELECT DISTINCT tw.t, ln((size.n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tw LEFT JOIN df USING (t), size),
+        vec AS (SELECT license, tw.t, n * idf / sqrt(sum(n * n * idf * idf) OVER (PARTITION BY license)) AS v FROM tw JOIN idf USING (t)),
+        units AS (SELECT doc_id, -1 AS line, lower(text) AS text FROM documents
+                  UNION ALL SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS l FROM documents)),
+        tok AS (SELECT doc_id, line, t, count(*) AS n FROM (SELECT doc_id, line, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+')) AS t FROM units) WHERE t <> '' GROUP BY ALL),
+        tf AS (SELECT doc_id, line, tok.t, tok.n * coalesce(idf, ln(size.n + 1) + 1) AS w FROM tok LEFT JOIN idf ON idf.t = tok.t, size),
+        norm AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM tf GROUP BY ALL),
+        dots AS (SELECT doc_id, line, license, sum(w * v) AS dot FROM tf JOIN vec USING (t) GROUP BY ALL),
+        scored AS (SELECT doc_id, line, license, round(dot / norm, 6) AS cosine FROM dots JOIN norm USING (doc_id, line) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}),
+        best AS (SELECT doc_id, line, license, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY cosine DESC, license) = 1),
+        own AS (SELECT doc_id, license AS own, cosine AS own_cosine, CASE WHEN line < 0 THEN 'file' ELSE 'header' END AS own_origin FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line >= 0, cosine DESC, license) = 1),
+        placed AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id AS path, coalesce(source, '') || '/' || coalesce(lang, '') AS dir FROM documents),
+        licensed AS (SELECT dir, path, own, own_cosine FROM placed JOIN own USING (doc_id) WHERE own_origin = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1),
+        near AS (SELECT d.dir, l.dir AS from_dir, own AS above, own_cosine AS above_cosine FROM (SELECT DISTINCT dir FROM placed) d JOIN licensed l ON l.dir = '' OR d.dir = l.dir OR starts_with(d.dir, l.dir || '/') QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(l.dir) DESC) = 1)
+        SELECT doc_id, path, coalesce(own, above) AS license, coalesce(own_cosine, above_cosine) AS cosine, coalesce(own_origin, CASE WHEN above IS NOT NULL THEN 'inherited' END, 'none') AS origin, CASE WHEN own IS NULL THEN from_dir END AS from_dir
+        FROM placed LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)""",
     "op9_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
