@@ -64,7 +64,7 @@ def toxicity_grammar(spark: SparkSession, sf_dir: str) -> toxicity.Grammar:
     """Learned from the labelled documents outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where((_crc(3) != 1) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    return toxicity.learn(docs.select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.learn(docs, known)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

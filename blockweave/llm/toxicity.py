@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockweave.llm.common import written
+
 #: Labelled texts that learning reads at most of either label, chosen by a hash of doc_id.
 POSITIVES, NEGATIVES = 2000, 6000
 #: Toxic texts, near copies left out, that must hold a learned insult.
@@ -129,13 +131,13 @@ def lexicon(toxic: list[set[str]], clean: Counter, n_clean: int, rate: float, n_
     return out
 
 
-def learn(labelled: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Grammar:
-    """The grammar from rows doc_id, text, toxic (0 or 1). At most so many texts of either label are read, the
-    first by a hash of doc_id; without toxic texts nothing is learned and every score is that of no match."""
-    some = labelled.where("toxic IN (0, 1) AND text IS NOT NULL").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    some = some.selectExpr("doc_id", "toxic AS y", "xxhash64(doc_id) AS h")
+def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Grammar:
+    """The grammar from texts (doc_id, text) and labels (doc_id, toxic; 0 or 1). At most so many texts of either
+    label are read, the first by a hash of doc_id; those ids, whose number is bounded, are broadcast to the
+    texts. Without toxic texts nothing is learned and every score is that of no match."""
+    some = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     chosen = some.where("y = 1").orderBy("h", "doc_id").limit(positives).unionByName(some.where("y = 0").orderBy("h", "doc_id").limit(negatives)).select("doc_id", "y")
-    sample = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = written(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
     cached = sample.select("doc_id", "text", "y").dropDuplicates(["doc_id"])
 
     def forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
