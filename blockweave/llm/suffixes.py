@@ -127,7 +127,8 @@ class Suffixes:
             end = len(self.bytes) - 1
             differ = (self.bytes[np.minimum(x, end)] != self.bytes[np.minimum(y, end)]) & (i < same[part : part + 8192, None])
             hit = differ.any(axis=1)
-            out[part : part + 8192][hit] = differ[hit].argmax(axis=1)
+            if hit.any():
+                out[part : part + 8192][hit] = differ[hit].argmax(axis=1)
         return out
 
 
