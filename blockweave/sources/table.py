@@ -90,9 +90,11 @@ class _Reader(DataSourceReader):
                         ok &= may_hold(r.stats(g, i), kind, *(None if x is None else cast(x) for x in (low, high)))
                 if ok:
                     out.append(_Group(file, g))
-        return out
+        return out or [_Group("", -1)]
 
     def read(self, partition: _Group) -> Iterator[pa.RecordBatch]:
+        if partition.group < 0:
+            return
         with open(partition.file, "rb") as f:
             r = Reader(f)
             names = [c.name for c in r.schema]
