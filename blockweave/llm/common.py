@@ -89,7 +89,7 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
                 met = (at >= 0) & (bits.value[(u >> np.uint64(6)).astype(int)] >> (u & np.uint64(63)) & np.uint64(1)).astype(bool)
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(met == wanted))
 
-        return docs.select("*", slot.alias("_slot")).mapInArrow(run, docs.schema)
+        return docs.select("*", slot.alias("__blockweave_slot")).mapInArrow(run, docs.schema)
 
     return side(True), side(False)
 

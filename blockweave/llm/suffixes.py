@@ -313,8 +313,8 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 new["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
-    found = spans.withColumnRenamed("found", "_found")
-    return some.join(found, "doc_id", "left").select(*names, "_found").mapInArrow(run, docs.schema).unionByName(rest)
+    found = spans.withColumnRenamed("found", "__blockweave_found")
+    return some.join(found, "doc_id", "left").select(*names, "__blockweave_found").mapInArrow(run, docs.schema).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
