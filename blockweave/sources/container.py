@@ -15,7 +15,7 @@ from blockweave.sources.record import Record, decode_block, encode_block, read_r
 from blockweave.spec import CodecSpec
 from blockweave.types import Block, DType, Layout, from_ordered, to_ordered
 
-# The container's magic number ("TDC1"), header, flags and entry sizes.
+# The magic number of container files, header, flags and entry sizes.
 MAGIC = 0x31434454
 HEADER = struct.Struct("<IHHQQQBBBBI3Q")
 HETEROGENEOUS, HAS_STATS = 1, 2
