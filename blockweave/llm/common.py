@@ -192,21 +192,28 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (v, component), component being the smallest id reached.
 
-    Alternates large-star and small-star steps, whose minima are pre-aggregated before each shuffle, until
-    the edge set no longer changes. Vertices without an edge are absent. No part of the graph is collected.
+    Alternates large-star and small-star steps, whose minima are pre-aggregated before each shuffle, until every
+    vertex hangs on its component's smallest. Vertices without an edge are absent. No part of the graph is
+    collected. Minima are written as tables: both sides of each join are then plain shuffles, whose hot keys
+    Spark can split.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = written(e, "edges")
-    before = None
-    while True:
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
         e = written(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("v"), "component").unionByName(e.select(F.col("v"), F.col("v").alias("component")).distinct())
-        before = now
+        dropped(least, large, low)
+    return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(e.select(F.col("v"), F.col("v").alias("component")).distinct())
+
+
+def _all_stars(e: DataFrame) -> bool:
+    """Whether no vertex has two edges down, or both one down and one up."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    per = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return per.where("down > 1 OR down > 0 AND up > 0").isEmpty()

@@ -200,7 +200,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     whole = met.join(heads.select("doc_id", "start"), ["doc_id", "start"], "left_anti").select("doc_id", "start", "count")
 
     mixed = heads.where("mixed")
-    crowds = mixed.groupBy("seed").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    crowds = written(mixed.groupBy("seed").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
     mixed = written(mixed.join(crowds, "seed"), "mixed")
     asked = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "start", "count", "crowd")).alias("ask"))
 
@@ -261,7 +261,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     kept = crowd.groupBy("h", "g").agg(F.min(place).alias("p")).select("p.doc_id", "p.start")
     late = crowd.select("doc_id", "start").join(kept, ["doc_id", "start"], "left_anti").select("doc_id", "start", F.lit(1).alias("count"))
     out = written(whole.unionByName(few).unionByName(late), "repeats")
-    dropped(seeds, met, heads, mixed, around, many)
+    dropped(seeds, met, heads, crowds, mixed, around, many)
     return out
 
 
