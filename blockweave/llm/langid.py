@@ -108,13 +108,21 @@ class Tables:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Model | None]:
     """Languages and network learned from at most `sample` rows of doc_id, text, lang (all of them usable).
     From each text one window is read, at a place set by its hash, and its first."""
-    langs = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").limit(1000).collect()]
+    spark = labelled.sparkSession
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
+    langs = list(counts)
     if not langs:
         return [], None
     each = max(1, sample // len(langs))
-    chosen = labelled.selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").dropDuplicates(["doc_id"]).selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS r").where(f"r <= {each}").select("doc_id")
+    # A threshold on the hash leaves a few times the rows that are wanted before they are ranked, so that a
+    # frequent language doesn't gather in one task.
+    share = spark.createDataFrame([(k, min(1 << 20, int(4 * each * (1 << 20) / n) + 1)) for k, n in counts.items()], "lang string, below long")
+    some = labelled.selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").join(F.broadcast(share), "lang").where(f"pmod(h, {1 << 20}) < below")
+    chosen = some.dropDuplicates(["doc_id"]).selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS r").where(f"r <= {each}").select("doc_id")
     part = F.expr(f"pmod(xxhash64(doc_id, 7), greatest(1, length(text) - {WINDOW})) + 1").cast("int")
     rows = labelled.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", F.substring("text", F.lit(1), F.lit(WINDOW)).alias("head"), F.substring("text", part, F.lit(WINDOW)).alias("body")).orderBy("doc_id").collect()
+    if not rows:
+        return [], None
     x = np.concatenate([windows(s.encode()[:WINDOW]) for r in rows for s in (r["head"], r["body"])])
     y = np.repeat([langs.index(r["lang"]) for r in rows], 2)
     return langs, train(x, y, len(langs))

@@ -80,12 +80,12 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = VOCABULARY) -> Dat
     counts = np.zeros(size + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
-    salts = int(max(16, counts.sum() // RANK_ROWS))
+    salts = F.array(*(F.lit(int(max(1, -(-n // RANK_ROWS)))) for n in counts))
     segments = np.array(plan(counts, size), np.int64).reshape(-1, 6)
     segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
     keys = segments[:, 0] << 40 | segments[:, 1]
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
     base = salted.groupBy("length", "salt").count().selectExpr("length", "salt", "coalesce(sum(count) OVER (PARTITION BY length ORDER BY salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
     ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32, start) - 1 AS r").join(base, ["length", "salt"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
