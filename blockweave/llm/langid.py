@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: Labelled texts that training reads at most, dealt evenly to the languages and chosen by a hash of doc_id.
 SAMPLE = 6000
-EPOCHS, BATCH, RATE, SEED = 5, 64, 3e-3, 20240607
+#: Passes over the sample, and training steps at least.
+EPOCHS, STEPS = 5, 300
+BATCH, RATE, SEED = 64, 3e-3, 20240607
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -125,7 +127,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Model | N
         return [], None
     x = np.concatenate([windows(s.encode()[:WINDOW]) for r in rows for s in (r["head"], r["body"])])
     y = np.repeat([langs.index(r["lang"]) for r in rows], 2)
-    return langs, train(x, y, len(langs))
+    return langs, train(x, y, len(langs), max(EPOCHS, -(-STEPS * BATCH // len(x))))
 
 
 def identify(docs: DataFrame, langs: list[str], model: Model | None, batch: int = 1 << 13) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -100,12 +101,13 @@ def _forms(text: str) -> set[str]:
 
 
 def apart(texts: list[set[str]]) -> list[set[str]]:
-    """One of each group of near copies: a text is left out if any of four smallest word hashes was met."""
-    met: set[tuple[int, int]] = set()
+    """One of each group of near copies: a text is left out if two of its four smallest word hashes were met
+    together."""
+    met: set[tuple] = set()
     out = []
     for forms in texts:
         words = [w.encode() for w in forms if len(w) > 5 and w[-1] != "*"] or [w.encode() for w in forms]
-        signs = {(k, min((zlib.crc32(w, k) for w in words), default=0)) for k in (1, 2, 3, 4)}
+        signs = set(combinations([(k, min((zlib.crc32(w, k) for w in words), default=0)) for k in (1, 2, 3, 4)], 2))
         if not signs & met:
             out.append(forms)
         met |= signs
@@ -122,8 +124,12 @@ def lexicon(toxic: list[set[str]], clean: Counter, n_clean: int, rate: float, n_
         hits, misses = n / max(1, n_toxic) * rate, (clean[f] + 0.1) / max(1, n_clean) * (1 - rate)
         if n >= SUPPORT and hits >= purity * (hits + misses):
             pure.append(f)
+    # A stem gives way to its longest continuation that nearly as many texts hold.
+    for i, f in enumerate(pure):
+        if f[-1] == "*":
+            pure[i] = max((g for g in pure if g[-1] == "*" and g.startswith(f[:-1]) and held[g] >= 0.95 * held[f]), key=len)
     out: list[str] = []
-    for f in sorted(pure, key=lambda f: (-held[f], f[-1] == "*", -len(f), f)):
+    for f in sorted(set(pure), key=lambda f: (clean[f] > 0, -held[f], f[-1] == "*", -len(f), f)):
         covered = any(g[-1] == "*" and f.startswith(g[:-1]) for g in out)
         same = f[-1] == "*" and any(g.startswith(f[:-1]) and held[g] >= 0.9 * held[f] for g in out)
         if not covered and not same:
