@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -62,7 +65,7 @@ def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
-    return read.mapInArrow(run, "doc_id long, text string")
+    return read.mapInArrow(released(run), "doc_id long, text string")
 
 
 def _bit_table(docs: DataFrame, ids: DataFrame):
@@ -89,7 +92,7 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
                 met = (at >= 0) & (bits.value[(u >> np.uint64(6)).astype(int)] >> (u & np.uint64(63)) & np.uint64(1)).astype(bool)
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(met == wanted))
 
-        return docs.select("*", slot.alias("__blockweave_slot")).mapInArrow(run, docs.schema)
+        return docs.select("*", slot.alias("__blockweave_slot")).mapInArrow(released(run), docs.schema)
 
     return side(True), side(False)
 
@@ -100,6 +103,29 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(ids.select(F.col("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
 
 
+def released(f: Callable) -> Callable:
+    """`f` over batches, giving freed memory back to the system at the end: workers are used again by later
+    stages, and what they hoard counts against their executor."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -134,7 +160,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i up to n."""
     if not _powers or len(_powers["up"]) <= n:
-        size = 1 << max(20, int(n).bit_length())
+        size = 1 << max(16, int(n).bit_length())
         inverse = pow(int(_BASE), -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", np.uint64(inverse))):
             p = np.full(size, base, np.uint64)

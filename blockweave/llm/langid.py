@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockweave.llm.common import released, sliced
+
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: Labelled texts that training reads at most, dealt evenly to the languages and chosen by a hash of doc_id.
 SAMPLE = 6000
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, langs: list[str], model: Model | None, batch: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, net = tables.value
-        for rows in batches:
+        for rows in sliced(batches):
             pred, score = [], []
             held: list[np.ndarray] = []
 
@@ -169,4 +171,4 @@ def identify(docs: DataFrame, langs: list[str], model: Model | None, batch: int
             settle()
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, lang_pred string, score double")

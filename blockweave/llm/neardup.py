@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import components, mix, shingles, steps, thinned, written
+from blockweave.llm.common import components, mix, released, shingles, sliced, steps, thinned, written
 
 REGISTERS, BAND_ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND_ROWS
@@ -108,7 +108,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 keys = band_keys(reg)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() for r in reg], pa.binary()), pa.array([list(x) if len(s) else None for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "reg", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, reg binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, reg binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -121,7 +121,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = shingles(texts, k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in registers(sets)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "reg", "set"])
 
-    found = thinned(docs, wanted).mapInArrow(run, "doc_id long, n long, reg binary, set binary")
+    found = thinned(docs, wanted).mapInArrow(released(run), "doc_id long, n long, reg binary, set binary")
     return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
@@ -129,7 +129,7 @@ def _verify(percent: int):
     """Links among pairs (a, n_a, reg_a, set_a, b, n_b, reg_b, set_b): estimate first, then whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
             out = []
             for i in range(batch.num_rows):
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     def side(s: str) -> DataFrame:
         return sets.toDF(s, f"n_{s}", f"reg_{s}", f"set_{s}")
 
-    links = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long"), "links")
+    links = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(_verify(percent)), "a long, b long"), "links")
     found = components(links)
 
     label = F.coalesce("component", "doc_id").alias("component")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import written
+from blockweave.llm.common import released, written
 from blockweave.llm.tokens import VOCABULARY, token_pieces
 
 #: Pieces that one numbering task of a length holds, about.
@@ -97,4 +97,4 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = VOCABULARY) -> Dat
             at = rank - seg[:, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seg[:, 4] + at // np.maximum(seg[:, 3], 1)), pa.array(seg[:, 5] + at % np.maximum(seg[:, 3], 1) * length)], [*names, "sequence_id", "offset"])
 
-    return ranked.selectExpr(*names, "base + r AS rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.selectExpr(*names, "base + r AS rank").mapInArrow(released(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

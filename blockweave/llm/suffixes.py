@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, steps, thinned, written
+from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, released, sliced, steps, thinned, written
 
 LENGTH, SEED = 100, 24
 #: Bytes of one numpy step within a long text.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct stretches around one seed that a task sorts together; more are sorted in parts, whose first
 #: windows then meet by hash.
 CROWD = 64
@@ -190,7 +190,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids[text].astype(np.int64)), pa.array(start), pa.array(count.astype(np.int32))], ["seed", "stretch", "doc_id", "start", "count"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    cuts = read.mapInArrow(cut, seed_of)
+    cuts = read.mapInArrow(released(cut), seed_of)
     seeds = cuts.groupBy("seed").agg(F.count("*").alias("n"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("n > 1").selectExpr("seed", "lo <> hi AS mixed")
     seeds = written(seeds, "seeds")
     met = written(cuts.join(seeds, "seed"), "met")
@@ -205,7 +205,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     asked = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "start", "count", "crowd")).alias("ask"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, text, ask in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ask")), strict=True):
                 data = text.encode()
@@ -214,7 +214,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
             for i in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 4096], strict=True), types, strict=True)], ["seed", "doc_id", "start", "count", "crowd", "bytes"])
 
-    around = written(thinned(read, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(fetch, "seed long, doc_id long, start long, count int, crowd long, bytes binary"), "around")
+    around = written(thinned(read, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(released(fetch), "seed long, doc_id long, start long, count int, crowd long, bytes binary"), "around")
 
     def solved(held: list[pa.RecordBatch]) -> tuple:
         table = pa.Table.from_batches(held)
@@ -255,7 +255,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     salt = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("crowd") / CROWD)).alias("salt")
     dealt = around.select("*", salt).repartition("seed", "salt").sortWithinPartitions("seed", "salt")
-    many = written(dealt.mapInArrow(resolve, "h long, g long, doc_id long, start long, count int"), "windows")
+    many = written(dealt.mapInArrow(released(resolve), "h long, g long, doc_id long, start long, count int"), "windows")
     few = many.where("count > 0").select("doc_id", "start", "count")
     crowd = many.where("count = 0")
     kept = crowd.groupBy("h", "g").agg(F.min(place).alias("p")).select("p.doc_id", "p.start")
@@ -299,7 +299,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if text and found:
@@ -314,7 +314,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
     found = spans.withColumnRenamed("found", "__blockweave_found")
-    return some.join(found, "doc_id", "left").select(*names, "__blockweave_found").mapInArrow(run, docs.schema).unionByName(rest)
+    return some.join(found, "doc_id", "left").select(*names, "__blockweave_found").mapInArrow(released(run), docs.schema).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -328,7 +328,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = _spans(docs, length)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
                 data = (text or "").encode()
@@ -340,4 +340,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.join(spans, "doc_id", "left").mapInArrow(take, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
+    return read.join(spans, "doc_id", "left").mapInArrow(released(take), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import shared_dir
+from blockweave.llm.common import released, shared_dir, sliced
 
 VOCABULARY = "byte_bpe_50k"
 #: Beyond these characters the two libraries' Unicode tables may differ, so the text goes to the slower one.
@@ -37,13 +37,19 @@ def encoder(vocabulary: str = VOCABULARY, special: bool = True):
     with lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    slow.encode_special_tokens = not special
+    made: list[Tokenizer] = []
+
+    def slow() -> Tokenizer:
+        """Made when a text first needs it."""
+        if not made:
+            made.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
+            made[0].encode_special_tokens = not special
+        return made[0]
 
     def ids(text: str) -> np.ndarray:
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return np.asarray(fast.encode_to_numpy(text), "<u4")
-        return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(slow().encode(text, add_special_tokens=False).ids, "<u4")
 
     return ids
 
@@ -60,14 +66,14 @@ def token_pieces(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(ids_of(text or ""), np.uint32(end_id)).astype("<u4")
                 out += [(doc, i, start, len(part), zlib.crc32(part.tobytes())) for i, (start, part) in enumerate(cut(ids, limit))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -75,12 +81,12 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             n = [len(ids_of(x)) if x else 0 for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
 
     kept = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long")
+    return kept.mapInArrow(released(run), "doc_id long, source string, lang string, n_tokens long")
 
 
 class Rollup:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockweave.llm.common import released
+
 BLOCK, QUERY_BLOCK, FIRST_DEPTH = 4096, 256, 32
 
 
@@ -85,7 +87,6 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
                 cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    spark = vectors.sparkSession
     pairs = candidates.join(queries, ["d", "c"]).select("d", "c_ids", "c_x", "q_ids", "q_x")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long") if spark else None
+    found = pairs.mapInArrow(released(search), "query_id long, vec_id long, score long")
     return found.selectExpr("query_id", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank", "vec_id", "score").where(f"rank <= {k}")

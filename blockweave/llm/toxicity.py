@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import written
+from blockweave.llm.common import released, sliced, written
 
 #: Labelled texts that learning reads at most of either label, chosen by a hash of doc_id.
 POSITIVES, NEGATIVES = 2000, 6000
@@ -147,22 +147,22 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     cached = sample.select("doc_id", "text", "y").dropDuplicates(["doc_id"])
 
     def forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(_forms(x)) for x in b.column("text").to_pylist()], pa.list_(pa.string()))], ["forms"])
 
-    toxic = apart([set(r["forms"]) for r in cached.where("y = 1").orderBy("doc_id").mapInArrow(forms_of, "forms array<string>").collect()])
+    toxic = apart([set(r["forms"]) for r in cached.where("y = 1").orderBy("doc_id").mapInArrow(released(forms_of), "forms array<string>").collect()])
     common = Counter(f for forms in toxic for f in forms)
     maybe = frozenset(f for f, n in common.items() if n >= SUPPORT)
     toxic = [x & maybe for x in toxic]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
-        for b in batches:
+        for b in sliced(batches):
             for x in b.column("text").to_pylist():
                 n.update(_forms(x) & maybe)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
 
-    clean = Counter({r["f"]: r["n"] for r in cached.where("y = 0").mapInArrow(counted, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}) if maybe else Counter()
+    clean = Counter({r["f"]: r["n"] for r in cached.where("y = 0").mapInArrow(released(counted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}) if maybe else Counter()
     n = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
     given = (clean, min(negatives, n.get(0, 0)), n.get(1, 0) / max(1, sum(n.values())), len(toxic))
     pure = lexicon(toxic, *given, PURITY)
@@ -175,10 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     g = Grammar(*split(pure), *split(mild)).with_trigger()
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int32()), pa.array([list(features(x, g)) for x in b.column("text").to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = cached.mapInArrow(outputs, "y int, x array<double>").collect()
+    rows = cached.mapInArrow(released(outputs), "y int, x array<double>").collect()
     # A few texts of either kind that the prior stands for keep every weight finite and of the right sign.
     prior = [(1, np.eye(len(FEATURES))[i]) for i in (0, 1, 2, 3, 5)] * 4 + [(0, np.zeros(len(FEATURES)))] * 8
     y = np.array([r["y"] for r in rows] + [p for p, _ in prior], float)
@@ -196,19 +196,19 @@ def rate(docs: DataFrame, g: Grammar) -> DataFrame:
     nothing. Rows that repeat a doc_id each get their row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             xs = [features(x or "", g) for x in b.column("text").to_pylist()]
             s = [score(x, g) for x in xs]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32()), pa.array([[f for f, v in zip(FEATURES[:-1], x, strict=False) if v] for x in xs], pa.list_(pa.string()))], ["doc_id", "score", "predicted", "matched"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, matched array<string>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, score double, predicted int, matched array<string>")
 
 
 def clean(docs: DataFrame, g: Grammar) -> DataFrame:
     """The rows of `docs`, all columns, that the grammar does not predict as toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([score(features(x or "", g), g) < THRESHOLD for x in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
