@@ -258,87 +258,150 @@ def symbol_of(v: int) -> tuple[int, int, int]:
     return (v, 0, 0) if v < 2 else (v.bit_length(), v - (1 << v.bit_length() - 1), v.bit_length() - 1)
 
 
-def offset_symbol(offset: int, recent: list[int]) -> tuple[int, int, int]:
-    """As symbol_of for an offset: 0 to 2 are the recent ones, which move to the front."""
+def offset_symbol(offset: int, recent: list[int], delta: bool = False) -> tuple[int, int, int]:
+    """As symbol_of for an offset: 0 to 2 are the recent ones, which move to the front; others count from 3, by
+    themselves or by their zigzag distance to the latest."""
     if offset in recent:
         i = recent.index(offset)
         recent.insert(0, recent.pop(i))
         return i, 0, 0
+    gap = offset - recent[0]
     recent.insert(0, offset)
     recent.pop()
+    if delta:
+        s, extra, bits = symbol_of(gap * 2 if gap >= 0 else -gap * 2 - 1)
+        return s + 3, extra, bits
     n = offset.bit_length() - 1
     return n + 3, offset - (1 << n), n
 
 
+def low_bits(extras: list[tuple[int, int]]) -> bytes:
+    """(value, bits) pairs, lowest bit first."""
+    out, packed, shift = bytearray(), 0, 0
+    for extra, bits in extras:
+        packed |= extra << shift
+        shift += bits
+        while shift >= 8:
+            out.append(packed & 255)
+            packed, shift = packed >> 8, shift - 8
+    return bytes(out) + (bytes([packed]) if shift else b"")
+
+
+class BitReader:
+    def __init__(self, data: bytes):
+        self.data, self.window, self.have, self.place = data, 0, 0, 0
+
+    def read(self, k: int) -> int:
+        while self.have < k:
+            if self.place >= len(self.data):
+                raise CorruptError("extra bits")
+            self.window |= self.data[self.place] << self.have
+            self.have, self.place = self.have + 8, self.place + 1
+        v = self.window & (1 << k) - 1
+        self.window, self.have = self.window >> k, self.have - k
+        return v
+
+
 class LzStreams:
     """Literals, both lengths and offsets in streams of their own, each under the smallest of three coders;
-    extra bits lowest first. A negative level takes the cost-based parser."""
-
-    HEADER = struct.Struct("<BBHIIII4B5I")
+    extra bits lowest first. Where it is smaller, literals are split by the high half of the one before, new
+    offsets are differences, and offsets that are all multiples of a power of two lose it. A negative level
+    takes the cost-based parser; delta and contexts, where given, decide those choices."""
+
+    HEADER = struct.Struct("<BBBBIIII4B5I")
+    # Flags of the format.
+    REPEATED, SHIFTED, CONTEXTS, DELTAS = 0x01, 0x02, 0x04, 0x10
+    CONTEXT = struct.Struct("<16B16I16I")
     _CODERS = {E.NONE: E.Passthrough(), E.HUFFMAN: E.Huffman(), E.FSE: E.Rans()}
 
+    def _best(self, data: bytes) -> tuple[int, bytes]:
+        return min(((k, c.encode(data, {})) for k, c in self._CODERS.items()), key=lambda kv: len(kv[1]))
+
+    def _split(self, literals: bytes) -> bytes:
+        x = np.frombuffer(literals, np.uint8)
+        before = np.concatenate((np.zeros(1, np.uint8), x[:-1] >> 4))[: len(x)]
+        parts = [x[before == c].tobytes() for c in range(16)]
+        done = [self._best(p) for p in parts]
+        return self.CONTEXT.pack(*(k for k, _ in done), *map(len, parts), *(len(d) for _, d in done)) + b"".join(d for _, d in done)
+
+    def _join(self, section: bytes, size: int) -> bytes:
+        if len(section) < self.CONTEXT.size:
+            raise CorruptError("contexts")
+        f = self.CONTEXT.unpack_from(section)
+        ids, counts, sizes = f[:16], f[16:32], f[32:]
+        if sum(counts) != size or self.CONTEXT.size + sum(sizes) != len(section) or any(k not in self._CODERS for k in ids):
+            raise CorruptError("contexts")
+        ends = np.cumsum([self.CONTEXT.size, *sizes]).tolist()
+        parts = [iter(self._CODERS[k].decode(section[a:b], n) if n else b"") for k, n, (a, b) in zip(ids, counts, pairwise(ends), strict=True)]
+        out, context = bytearray(), 0
+        for _ in range(size):
+            byte = next(parts[context], None)
+            if byte is None:
+                raise CorruptError("contexts")
+            out.append(byte)
+            context = byte >> 4
+        return bytes(out)
+
     def encode(self, data, params):
         level = params.get("level", 0)
         seqs = fused(parse_optimal(data) if level < 0 else parse_greedy(data, level), params.get("min_match") or MIN_MATCH)
         literals, tail = literals_of(data, seqs)
-        recent, columns, extras = list(REPEATS), [[], [], []], []
-        for n, m, offset in seqs:
-            for column, (s, extra, bits) in zip(columns, (symbol_of(n), symbol_of(m - MIN_MATCH), offset_symbol(offset, recent)), strict=True):
-                column.append(s)
-                extras.append((extra, bits))
-        packed, shift = 0, 0
-        pieces: list[int] = []
-        for extra, bits in extras:
-            packed |= extra << shift
-            shift += bits
-            while shift >= 8:
-                pieces.append(packed & 255)
-                packed, shift = packed >> 8, shift - 8
-        if shift:
-            pieces.append(packed & 255)
-        best = [min(((k, c.encode(x, {})) for k, c in self._CODERS.items()), key=lambda kv: len(kv[1])) for x in (literals, *map(bytes, columns))]
-        body = [x for _, x in best] + [bytes(pieces)]
-        out = self.HEADER.pack(2, 1, 0, len(seqs), len(literals), tail, len(data), *(k for k, _ in best), *map(len, body)) + b"".join(body)
+        every = 0
+        for *_, offset in seqs:
+            every |= offset
+        shift = min(7, (every & -every).bit_length() - 1) if every else 0
+        tried = []
+        for delta in (False, True) if params.get("delta") is None else (bool(params["delta"]),):
+            recent, columns, extras = list(REPEATS), [[], [], []], []
+            for n, m, offset in seqs:
+                for column, (s, extra, bits) in zip(columns, (symbol_of(n), symbol_of(m - MIN_MATCH), offset_symbol(offset >> shift, recent, delta)), strict=True):
+                    column.append(s)
+                    extras.append((extra, bits))
+            coded = [self._best(bytes(c)) for c in columns]
+            tried.append((sum(len(d) for _, d in coded) + sum(b for _, b in extras) // 8, delta, coded, extras))
+        _, delta, coded, extras = min(tried, key=lambda t: t[:2])
+        first, split = self._best(literals), self._split(literals) if literals else b""
+        contexts = bool(literals) and params.get("contexts", len(split) < len(first[1]))
+        best = [(E.NONE, split) if contexts else first, *coded]
+        body = [x for _, x in best] + [low_bits(extras)]
+        flags = self.REPEATED | self.SHIFTED * (shift > 0) | self.CONTEXTS * contexts | self.DELTAS * delta
+        out = self.HEADER.pack(2, flags, shift, 0, len(seqs), len(literals), tail, len(data), *(k for k, _ in best), *map(len, body)) + b"".join(body)
         if seqs and len(out) < len(data):
             return out
-        return self.HEADER.pack(2, 0, 0, 0, len(data), len(data), len(data), 0, 0, 0, 0, len(data), 0, 0, 0, 0) + data
+        return self.HEADER.pack(2, 0, 0, 0, 0, len(data), len(data), len(data), 0, 0, 0, 0, len(data), 0, 0, 0, 0) + data
 
     def decode(self, data, size):
         if len(data) < self.HEADER.size:
             raise CorruptError("header")
-        version, flags, _, count, n_lit, tail, n, *rest = self.HEADER.unpack_from(data)
+        version, flags, shift, zero, count, n_lit, tail, n, *rest = self.HEADER.unpack_from(data)
         ids, sizes = rest[:4], rest[4:]
-        if version != 2 or flags & ~1 or n != size or len(data) != self.HEADER.size + sum(sizes) or any(k not in self._CODERS for k in ids) or tail > n_lit:
+        known = self.REPEATED | self.SHIFTED | self.CONTEXTS | self.DELTAS
+        if version != 2 or flags & ~known or zero or shift > 7 or n != size or n_lit > size or len(data) != self.HEADER.size + sum(sizes) or any(k not in self._CODERS for k in ids) or tail > n_lit:
             raise CorruptError("header")
         ends = np.cumsum([self.HEADER.size, *sizes]).tolist()
         parts = [data[a:b] for a, b in pairwise(ends)]
-        literals, lengths, matches, offsets = (self._CODERS[k].decode(p, m) for k, p, m in zip(ids, parts, (n_lit, count, count, count), strict=False))
-        recent, seqs = list(REPEATS), []
-        window, have, place = 0, 0, 0
-
-        def read(k: int) -> int:
-            nonlocal window, have, place
-            while have < k:
-                if place >= len(parts[4]):
-                    raise CorruptError("extra bits")
-                window |= parts[4][place] << have
-                have, place = have + 8, place + 1
-            v = window & (1 << k) - 1
-            window, have = window >> k, have - k
-            return v
-
-        for a, b, c in zip(lengths, matches, offsets, strict=True):
-            if max(a, b, c) > 27:
+        literals = self._join(parts[0], n_lit) if flags & self.CONTEXTS else self._CODERS[ids[0]].decode(parts[0], n_lit)
+        columns = [self._CODERS[k].decode(p, count) for k, p in zip(ids[1:], parts[1:4], strict=True)]
+        bits, recent, seqs = BitReader(parts[4]), list(REPEATS), []
+        for a, b, c in zip(*columns, strict=True):
+            if max(a, b) > 25 or c > 27:
                 raise CorruptError("symbol")
-            x, y = (s if s < 2 else (1 << s - 1) + read(s - 1) for s in (a, b))
-            if c < 3 and flags & 1:
+            x, y = (s if s < 2 else (1 << s - 1) + bits.read(s - 1) for s in (a, b))
+            if c < 3:
+                if not flags & self.REPEATED:
+                    raise CorruptError("offset")
                 recent.insert(0, recent.pop(c))
-            elif c >= 3:
-                recent.insert(0, (1 << c - 3) + read(c - 3))
-                recent.pop()
             else:
-                raise CorruptError("offset")
-            seqs.append((x, y + MIN_MATCH, recent[0]))
+                if flags & self.DELTAS:
+                    z = c - 3 if c < 5 else (1 << c - 4) + bits.read(c - 4)
+                    offset = recent[0] + (z >> 1 ^ -(z & 1))
+                else:
+                    offset = (1 << c - 3) + bits.read(c - 3)
+                if offset < 1:
+                    raise CorruptError("offset")
+                recent.insert(0, offset)
+                recent.pop()
+            seqs.append((x, y + MIN_MATCH, recent[0] << (shift if flags & self.SHIFTED else 0)))
         return rebuild(seqs, literals, size)
 
 

@@ -1,6 +1,7 @@
 """Round trips, golden vectors, rejections and corruption of block records."""
 
 import io
+import itertools
 
 import numpy as np
 import pytest
@@ -116,6 +117,17 @@ def test_coders(key):
     assert key in (E.NONE,) or len(coder.encode(bytes(5000), {"n_lanes": 4})) < 5000
 
 
+def test_streams_of_every_form():
+    coder, seen = lz.CODERS[E.LZ_STREAMS], set()
+    shapes = [np.cumsum(RNG.integers(-3, 4, 2000)).astype("<f8"), RNG.integers(0, 50, 3000).astype("<u4"), np.tile(RNG.integers(0, 9, 37), 60).astype("<u2"), RNG.integers(0, 4, 5000).astype("u1")]
+    for data in (x.tobytes() for x in shapes):
+        for params in itertools.product((0, -1, 3), (True, False, None), (True, False), (3, 6)):
+            coded = coder.encode(data, dict(zip(("level", "delta", "contexts", "min_match"), params, strict=True)))
+            assert coder.decode(coded, len(data)) == data
+            seen.add(coded[1])
+    assert {f & b for f in seen for b in (1, 2, 4, 16)} == {0, 1, 2, 4, 16}
+
+
 def test_chain_limits_and_rejections():
     with pytest.raises(errors.BlockError):
         CodecSpec(1, (2, 0, 3))
