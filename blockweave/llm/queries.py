@@ -88,6 +88,28 @@ QUERIES = {f.__name__: f for f in (op1_minhash_neardup, op2_decontamination, op3
 
 _N, _M = len(sharding.SHARDS), sharding.SLOTS
 ORACLES = {
+    "op1_minhash_neardup": r"""
+        WITH RECURSIVE w AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+        sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 2 THEN list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]) ELSE l END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT DISTINCT a AS v, a AS r FROM sym UNION SELECT reach.v, sym.b FROM reach JOIN sym ON sym.a = reach.r)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(r), w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(min(r), w.doc_id)) AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.v = w.doc_id GROUP BY w.doc_id, n.n""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+        win AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM b WHERE n >= 100)),
+        late AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+        edge AS (SELECT doc_id, p, coalesce(p > max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100, true) AS fresh FROM late),
+        isle AS (SELECT doc_id, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edge),
+        span AS (SELECT doc_id, g, min(p) AS a, max(p) + 100 AS z FROM isle GROUP BY ALL),
+        gap AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM span UNION ALL SELECT doc_id, max(z), 1000000000 FROM span GROUP BY doc_id),
+        rest AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS kept FROM gap JOIN b USING (doc_id) GROUP BY doc_id)
+        SELECT b.doc_id, n AS n_bytes, CAST(coalesce((SELECT sum(z - a) FROM span WHERE span.doc_id = b.doc_id), 0) AS BIGINT) AS n_removed, CAST((SELECT count(*) FROM span WHERE span.doc_id = b.doc_id) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM b LEFT JOIN rest ON rest.doc_id = b.doc_id""",
     "op6_license_scan": f"""
         WITH tpl(license, text) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())}),
         tw AS (SELECT license, t, count(*) AS n FROM (SELECT license, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM tpl) WHERE t <> '' GROUP BY ALL),
