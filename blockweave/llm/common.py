@@ -35,6 +35,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gc.collect()
+    _give_back()
     spark.sparkContext._jvm.System.gc()  # files of finished shuffles go once nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
@@ -103,6 +104,12 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(ids.select(F.col("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(f: Callable) -> Callable:
     """`f` over batches, giving freed memory back to the system at the end: workers are used again by later
     stages, and what they hoard counts against their executor."""
@@ -112,9 +119,7 @@ def released(f: Callable) -> Callable:
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return run
 

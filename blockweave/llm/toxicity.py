@@ -100,18 +100,29 @@ def _forms(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def apart(texts: list[set[str]]) -> list[set[str]]:
-    """One of each group of near copies: a text is left out if two of its four smallest word hashes were met
-    together."""
+def signs(text: str) -> list[int]:
+    """Four smallest word hashes, each under its own seed; longer words only, where there are any."""
+    words = {w.encode() for w in _WORD.findall(text.lower())}
+    words = {w for w in words if len(w) > 5} or words
+    return [min((zlib.crc32(w, k) for w in words), default=0) for k in (1, 2, 3, 4)]
+
+
+def apart(marks: list[tuple[int, list[int]]]) -> frozenset[int]:
+    """Ids of one of each group of near copies: a text is left out if two of its signs were met together."""
     met: set[tuple] = set()
-    out = []
-    for forms in texts:
-        words = [w.encode() for w in forms if len(w) > 5 and w[-1] != "*"] or [w.encode() for w in forms]
-        signs = set(combinations([(k, min((zlib.crc32(w, k) for w in words), default=0)) for k in (1, 2, 3, 4)], 2))
-        if not signs & met:
-            out.append(forms)
-        met |= signs
-    return out
+    out = set()
+    for doc, four in marks:
+        pairs = set(combinations(enumerate(four), 2))
+        if not pairs & met:
+            out.add(doc)
+        met |= pairs
+    return frozenset(out)
+
+
+def share_toxic(n: int, n_toxic: int, misses: int, n_clean: int, rate: float) -> float:
+    """Of the texts with a form, about the share that is toxic, at this rate of toxic texts."""
+    hits = n / max(1, n_toxic) * rate
+    return hits / (hits + (misses + 0.1) / max(1, n_clean) * (1 - rate))
 
 
 def lexicon(toxic: list[set[str]], clean: Counter, n_clean: int, rate: float, n_toxic: int, purity: float) -> list[str]:
@@ -119,11 +130,7 @@ def lexicon(toxic: list[set[str]], clean: Counter, n_clean: int, rate: float, n_
     this rate of toxic texts. A stem is taken where it has clearly more texts than any word or longer stem of
     it, and then stands for all of them."""
     held = Counter(f for forms in toxic for f in forms)
-    pure = []
-    for f, n in held.items():
-        hits, misses = n / max(1, n_toxic) * rate, (clean[f] + 0.1) / max(1, n_clean) * (1 - rate)
-        if n >= SUPPORT and hits >= purity * (hits + misses):
-            pure.append(f)
+    pure = [f for f, n in held.items() if n >= SUPPORT and share_toxic(n, n_toxic, clean[f], n_clean, rate) >= purity]
     # A stem gives way to its longest continuation that nearly as many texts hold.
     for i, f in enumerate(pure):
         if f[-1] == "*":
@@ -146,25 +153,42 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     sample = written(docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
     cached = sample.select("doc_id", "text", "y").dropDuplicates(["doc_id"])
 
-    def forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(_forms(x)) for x in b.column("text").to_pylist()], pa.list_(pa.string()))], ["forms"])
-
-    toxic = apart([set(r["forms"]) for r in cached.where("y = 1").orderBy("doc_id").mapInArrow(released(forms_of), "forms array<string>").collect()])
-    common = Counter(f for forms in toxic for f in forms)
-    maybe = frozenset(f for f, n in common.items() if n >= SUPPORT)
-    toxic = [x & maybe for x in toxic]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([signs(x) for x in b.column("text").to_pylist()], pa.list_(pa.int64()))], ["doc_id", "signs"])
+
+    def counter(keep: frozenset | None, among: frozenset | None):
+        """Counts of forms over the kept texts, of all forms or some."""
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n: Counter = Counter()
+            for b in sliced(batches):
+                for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    if keep is None or doc in keep:
+                        n.update(_forms(x) if among is None else _forms(x) & among)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
+
+        return released(counted)
+
+    def totals(rows: DataFrame, count) -> Counter:
+        found = rows.select("doc_id", "text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        return Counter({r["f"]: r["n"] for r in found.where(f"n >= {SUPPORT}" if count is all_forms else "true").collect()})
+
+    bad = cached.where("y = 1")
+    keep = apart([(r["doc_id"], r["signs"]) for r in bad.select("doc_id", "text").mapInArrow(released(signs_of), "doc_id long, signs array<long>").orderBy("doc_id").collect()])
+    all_forms = counter(keep, None)
+    common = totals(bad, all_forms)
+    clean = totals(cached.where("y = 0"), counter(None, frozenset(common))) if common else Counter()
+    n = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    given = (clean, min(negatives, n.get(0, 0)), n.get(1, 0) / max(1, sum(n.values())), len(keep))
+    fit = frozenset(f for f, k in common.items() if share_toxic(k, given[3], clean[f], *given[1:3]) >= MILD)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            for x in b.column("text").to_pylist():
-                n.update(_forms(x) & maybe)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
+            held = [sorted(_forms(x) & fit) for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if doc in keep]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], ["forms"])
 
-    clean = Counter({r["f"]: r["n"] for r in cached.where("y = 0").mapInArrow(released(counted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}) if maybe else Counter()
-    n = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    given = (clean, min(negatives, n.get(0, 0)), n.get(1, 0) / max(1, sum(n.values())), len(toxic))
+    toxic = [set(r["forms"]) for r in bad.select("doc_id", "text").mapInArrow(released(present), "forms array<string>").collect()] if fit else []
     pure = lexicon(toxic, *given, PURITY)
     left = [x for x in toxic if x.isdisjoint(pure)]
     mild = lexicon(left, *given, MILD)
