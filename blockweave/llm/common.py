@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -33,6 +35,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _small_batches(spark)
     df.write.parquet(path)
     gc.collect()
     _give_back()
@@ -52,21 +55,24 @@ def dropped(*tables: DataFrame) -> None:
 FILTER_BITS = 1 << 22
 
 
-def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and text of at least the documents whose doc_id is in `wanted`, and of few others: a bit table
+def thinned(docs: DataFrame, wanted: DataFrame, then: Callable | None = None, schema: str = "doc_id long, text string") -> DataFrame:
+    """doc_id and text (or what `then` makes of their batches, in the same worker) of at least the documents whose doc_id is in `wanted`, and of few others: a bit table
     of fixed size, made from the wanted ids, drops most texts before a join has to move them. At any size it
     only saves work: the join that follows settles the rest."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bits = _bit_table(docs, wanted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("slot").to_numpy().astype(np.uint64)
             keep = (bits.value[(at >> np.uint64(6)).astype(int)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
             yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from then(kept(batches)) if then else kept(batches)
+
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
-    return read.mapInArrow(released(run), "doc_id long, text string")
+    return read.mapInArrow(released(run), schema)
 
 
 def _bit_table(docs: DataFrame, ids: DataFrame):
@@ -131,7 +137,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of the default 10,000 rows would take hundreds of MB in a worker and its JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

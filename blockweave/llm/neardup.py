@@ -121,7 +121,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = shingles(texts, k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in registers(sets)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "reg", "set"])
 
-    found = thinned(docs, wanted).mapInArrow(released(run), "doc_id long, n long, reg binary, set binary")
+    found = thinned(docs, wanted, run, "doc_id long, n long, reg binary, set binary")
     return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
