@@ -56,9 +56,10 @@ FILTER_BITS = 1 << 22
 
 
 def thinned(docs: DataFrame, wanted: DataFrame, then: Callable | None = None, schema: str = "doc_id long, text string") -> DataFrame:
-    """doc_id and text (or what `then` makes of their batches, in the same worker) of at least the documents whose doc_id is in `wanted`, and of few others: a bit table
-    of fixed size, made from the wanted ids, drops most texts before a join has to move them. At any size it
-    only saves work: the join that follows settles the rest."""
+    """doc_id and text (or what `then` makes of their batches, in the same worker) of at least the documents whose
+    doc_id is in `wanted`, and of few others: a bit table of fixed size, made from the wanted ids, drops most
+    texts before a join has to move them. At any size it only saves work: the join that follows settles the
+    rest."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bits = _bit_table(docs, wanted)
 

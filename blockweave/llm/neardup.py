@@ -202,13 +202,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     sketch = written(sketches(docs, k), "sketch")
     filled = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    # Aggregates as tables: a join with them is of two plain shuffles, whose hot keys Spark can split.
+    classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     member = written(filled.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id"), "member")
     heads = member.select(F.col("class_id").alias("doc_id")).distinct()
     spread = filled.join(heads, "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band", "key"))
     spread = written(spread, "bands")
     order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
     buckets = spread.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc_id").alias("first"), F.min(order)["d"].alias("second")).where("size > 1")
+    buckets = written(buckets, "sizes")
     full = written(spread.join(buckets, ["band", "key"]), "buckets")
     pairs = full.select("doc_id", F.explode(F.array("first", "second")).alias("b")).where("doc_id <> b").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
