@@ -235,12 +235,9 @@ def prune(zones: DataFrame, column: str, low, high) -> DataFrame:
 def advice(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, distinct and zero shares, and what they speak for: a dictionary below 5 % distinct values (no
     gain from 10 %), sparse entries from 75 % zeros."""
-    parts = []
-    for c in columns:
-        zeros = F.count_if(F.col(c) == 0) / F.count("*")
-        parts.append(df.agg(F.lit(c).alias("column"), (F.countDistinct(c) / F.count("*")).alias("distinct_share"), zeros.alias("zero_share")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    aggs = [a for i, c in enumerate(columns) for a in (F.count_distinct(c).alias(f"d{i}"), F.count_if(F.col(c) == 0).alias(f"z{i}"))]
+    one = df.agg(F.count("*").alias("n"), *aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"d{i}") / F.col("n")).alias("distinct_share"), (F.col(f"z{i}") / F.col("n")).alias("zero_share")) for i, c in enumerate(columns)])
+    out = one.select(F.inline(rows))
     model = F.when(F.col("zero_share") >= 0.75, "sparse_zero").when(F.col("distinct_share") < 0.05, "dict_numeric").when(F.col("distinct_share") < 0.1, "dict_numeric or raw").otherwise("raw")
     return out.select("column", F.round("distinct_share", 6).alias("distinct_share"), F.round("zero_share", 6).alias("zero_share"), model.alias("model"))
