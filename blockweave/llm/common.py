@@ -217,7 +217,7 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     h, _, first = words(texts)
     n = len(h)
     roll = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         part = mix(h[j:] + np.uint64((j + 1) * int(_BASE) % 2**64))
         roll[: n - j] = mix(roll[: n - j] * _M2 + part) if j else part
     out = []

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockweave.llm import decontaminate, langid, licenses, neardup, packing, queries, sharding, suffixes, tokens, topk, toxicity
-from blockweave.llm.common import components, shingles, table, words
+from blockweave.llm.common import STEP_BYTES, components, shingles, table, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot string, component_id int, w double"
 RNG = random.Random(11)
@@ -52,6 +52,21 @@ def test_words_and_shingles():
     assert [len(s) for s in shingles([b"a b a b", b"a", b"", b"a b"], 2)] == [2, 1, 0, 1]
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_shingles_of_few_words(k):
+    texts = [b"", b"a", b"a b", b"a b c", b"a b c d", b"a b c d e f"]
+    alone = [shingles([t], k)[0].tolist() for t in texts]
+    assert alone == [x.tolist() for x in shingles(texts, k)]
+    assert [len(x) for x in alone] == [max(n - k + 1, min(n, 1)) for n in (0, 1, 2, 3, 4, 6)]
+
+
+def test_short_text_between_long_ones(spark):
+    long = " ".join(prose(200) for _ in range(STEP_BYTES // 600))
+    assert len(long) > STEP_BYTES
+    got = {r.doc_id: r.n_shingles for r in neardup.near_duplicates(frame(spark, [(1, long), (2, "a b"), (3, long + " x"), (4, "a b c")]).coalesce(1), 5).collect()}
+    assert got[2] == got[4] == 1 and got[1] > 1
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 8), (8, 7), (7, 6), (6, 10), (3, 1), (2, 2)]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
