@@ -20,6 +20,9 @@ TEMPLATES = {
     "Proprietary": "Copyright. All rights reserved. Confidential and proprietary.",
 }
 THRESHOLD = 0.5
+#: Headers that are a small part of a template, whose other words are rarer the larger the table: its cosine with
+#: them falls below any threshold. Looked for where no template is found, with words that weigh alike.
+SHORT = {"Proprietary": "All rights reserved."}
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -93,6 +96,18 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: f
     return scored.groupBy("doc_id", "line").agg(best.alias("b")).select("doc_id", "line", "b.license", (-F.col("b.c")).alias("cosine"))
 
 
+def short_matches(docs: DataFrame, short: dict[str, str] = SHORT, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, line, license, cosine of the lines, and as line -1 the whole texts, that hold a short header's
+    words in a row and little else: the cosine is the root of the header's share of the words, at any size of
+    the table."""
+    phrases = {name: r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(_words(text)) + r"(?![\p{L}\p{N}])" for name, text in short.items()}
+    low = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("text").alias("text")).where(F.col("text").rlike("|".join(phrases.values())))
+    units = low.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("line"), "text")), F.expr("transform(split(text, '\n', -1), (x, i) -> named_struct('line', i, 'text', x))"))).alias("u")).select("doc_id", "u.line", "u.text")
+    forms = [F.when(F.col("text").rlike(phrases[name]), F.struct(F.lit(name).alias("license"), F.round(F.sqrt(F.lit(len(_words(text))) / F.col("n")), 6).alias("cosine"))) for name, text in short.items()]
+    found = units.withColumn("n", F.size(F.array_remove(F.split("text", _SPLIT), ""))).select("doc_id", "line", F.explode(F.array(*forms)).alias("f"))
+    return found.select("doc_id", "line", "f.license", "f.cosine").where(F.col("cosine") >= threshold)
+
+
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, cosine, origin, from_dir of every file of files (doc_id, path, text).
 

@@ -345,6 +345,21 @@ def test_licenses(spark):
     assert licenses.scan(df).count() == 10 and licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [500, 40_000])
+def test_license_headers_at_two_sizes(spark, n):
+    headers = [*licenses.TEMPLATES.items(), ("Proprietary", "All rights reserved.")] * 4
+    rows = spark.createDataFrame([(i, f"f/{i}", f"{prose(150)}\n# {t}\n{prose(5)}") for i, (_, t) in enumerate(headers)], "doc_id long, path string, text string")
+    rest = spark.range(100, n).selectExpr("id AS doc_id", "concat('g/', id) AS path", "concat_ws(' ', transform(sequence(1, 9), i -> hex(hash(id, i) % 300))) AS text")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(rows.unionByName(rest)).where("license IS NOT NULL").collect()}
+    assert got == {i: (name, "header") for i, (name, _) in enumerate(headers)}
+
+
+def test_short_headers_are_not_prose(spark):
+    rows = [(1, "a", "All rights"), (2, "b", "reserved"), (3, "c", prose(40) + " all rights reserved " + prose(40)), (4, "d", "x\n(c) 2020 A. B. All Rights Reserved\ny"), (5, "e", "small rights reserved")]
+    got = {r.doc_id: r.license for r in licenses.short_matches(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {4: "Proprietary"}
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------
 
 
