@@ -356,10 +356,20 @@ def test_license_headers_at_two_sizes(spark, n):
 
 def test_short_headers_are_not_prose(spark):
     rows = [(1, "a", "All rights"), (2, "b", "reserved"), (3, "c", prose(40) + " all rights reserved " + prose(40)), (4, "d", "x\n(c) 2020 A. B. All Rights Reserved\ny"), (5, "e", "small rights reserved")]
-    got = {r.doc_id: r.license for r in licenses.short_matches(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    got = {r.doc_id: r.license for r in licenses.short_matches(licenses.lowered(spark.createDataFrame(rows, "doc_id long, path string, text string"))).collect()}
     assert got == {4: "Proprietary"}
 
 
+def test_license_files_of_full_text(spark):
+    rows = [(10 * i + j, f"{name}/{f}", text) for i, (name, full) in enumerate(licenses.TEXTS.items()) for j, (f, text) in enumerate([("LICENSE", f"Copyright (c) 2020 Jane Roe and others\n\n{full}"), ("src/a.c", "int x"), ("src/b.c", prose(40))])]
+    lines = [(90, "w/a.c", "# This Source Code Form is subject to\n# the terms of the Mozilla Public\n# License, v. 2.0.\n" + prose(60)), (91, "w/b.c", prose(300))]
+    got = {r.doc_id: (r.license, r.origin, r.from_dir) for r in licenses.scan(spark.createDataFrame(rows + lines, "doc_id long, path string, text string")).collect()}
+    want = {90: ("MPL-2.0", "header", None), 91: (None, "none", None)}
+    for i, name in enumerate(licenses.TEXTS):
+        want |= {10 * i: (name, "file", None), 10 * i + 1: (name, "inherited", name), 10 * i + 2: (name, "inherited", name)}
+    assert len(licenses.TEXTS) == 5 and got == want
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------
 
 
