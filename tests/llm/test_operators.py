@@ -214,6 +214,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_copies_among_words_outside_the_benchmark(spark):
+    """Items of words that the corpus often has, in passages whose other words are as rare as can be: the cosine
+    falls below its threshold, and with long items too."""
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(60)]
+    short = [rng.sample(names, 6) for _ in range(4)]
+    long = [[f"l{i}x{j}" for j in range(1200)] for i in range(2)]
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(short + long)], "item_id long, text string")
+    rest = [(100 + i, " ".join(rng.choices(names, k=12) + [f"z{rng.randrange(10**9)}" for _ in range(48)])) for i in range(3000)]
+    held = [(i, " ".join([f"y{rng.randrange(10**9)}" for _ in range(70)] + t + [f"y{rng.randrange(10**9)}" for _ in range(70)])) for i, t in enumerate(short + long)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rest + held), items).collect()}
+    assert {x for x in got if x[0] < 100} == {(i, i) for i in range(6)}  # others hold most of a short item by chance
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
