@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, released, sliced, steps, thinned, written
@@ -15,9 +16,8 @@ from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, r
 LENGTH, SEED = 100, 24
 #: Bytes of one numpy step within a long text.
 CHUNK = 1 << 18
-#: Distinct stretches around one seed that a task sorts together; more are sorted in parts, whose first
-#: windows then meet by hash.
-CROWD = 64
+#: Distinct stretches that one task sorts together; larger groups are split by more context first.
+GROUP = 1024
 
 
 def _range_hash(s: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -172,80 +172,116 @@ def _windows(c: dict[str, np.ndarray], stretch: list[bytes], length: int, seed:
     return put[row], k, late
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id, start, count: runs of windows of `length` bytes whose bytes also start earlier in the corpus.
+def _leads(stretch: list[bytes], length: int, seed: int) -> np.ndarray:
+    """For each stretch, the place of the leftmost smallest seed hash in its first window."""
+    if not stretch:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(x[:length] for x in stretch), np.uint8)
+    s, (_, down) = prefix_hashes(data), powers(len(data))
+    begin = (np.arange(len(stretch)) * length)[:, None] + np.arange(length - seed + 1)
+    grams = mix(_range_hash(s, down, begin, begin + seed)) & ~np.uint64((1 << 24) - 1)
+    return grams.argmin(axis=1)
+
+
+def halves(lead: int, count: int, low: int, high: int, stretch: bytes, length: int = LENGTH, seed: int = SEED) -> list[tuple]:
+    """A stretch whose seed stands at `lead`, cut in two by where the seed stands in its windows: `low` to the
+    middle, and from there to `high` bytes before it. Each part: the bytes that all windows of such a part
+    share by where they stand around the seed, first window, count, lead, low, high, and the part's bytes."""
+    middle, out = (low + high) // 2, []
+    for lo, hi in ((low, middle), (middle + 1, high)):
+        a, b = max(lo, lead - count + 1), min(hi, lead)
+        if a <= b:
+            k, n = lead - b, b - a + 1
+            out.append((stretch[lead - lo : lead + length - hi], k, n, b, lo, hi, stretch[k : k + n - 1 + length]))
+    return out
+
+
+_PLACE = ["doc_id", "twin", "start"]
+_HEAD = "g long, f long, doc_id long, twin long, start long, count int, lead int, low int, high int, bytes binary"
+
+
+def twin(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart: 0 where no doc_id has two different texts, else a hash of the text."""
+    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"))
+    one = ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
+    return F.lit(0).cast("long") if one else F.xxhash64(F.col("text").cast("string"))
+
+
+def repeated_windows(docs: DataFrame, own: Column, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """doc_id, twin (the value of `own`), start, count: runs of windows of `length` bytes whose bytes also start
+    earlier in the corpus.
 
     Segments (see `segments`) are grouped by seed; seeds met once go. Stretches that are wholly equal keep
     their earliest place, and the others repeat as a whole. Around seeds with several different stretches the
-    earliest place of each is fetched with its bytes and suffix-sorted, group by group; crowded seeds are sorted
-    in parts, and of each part only the first of equal windows goes on, to meet by a hash of 128 bits.
+    earliest place of each is fetched with its bytes and suffix-sorted, group by group. A group larger than
+    GROUP is split first: each stretch into two (see `halves`), which are grouped anew by the bytes around the
+    seed that all windows of such a part share, wholly equal parts again keep their earliest place, and so
+    on while a group is too large. That ends with parts of one window, which are equal within a group. So a
+    stretch makes two rows a round at most, and no task holds more than a group.
     """
-    seed_of = "seed long, stretch long, doc_id long, start long, count int"
+    seed_of = "seed long, stretch long, doc_id long, twin long, start long, count int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in steps(batch):
                 text, start, count, h, stretch = segments(texts, length, seed)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids[text].astype(np.int64)), pa.array(start), pa.array(count.astype(np.int32))], ["seed", "stretch", "doc_id", "start", "count"])
+                ids, twins = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "twin"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids[text]), pa.array(twins[text]), pa.array(start), pa.array(count.astype(np.int32))], ["seed", "stretch", "doc_id", "twin", "start", "count"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    cuts = read.mapInArrow(released(cut), seed_of)
+    cuts = read.withColumn("twin", own).mapInArrow(released(cut), seed_of)
     seeds = cuts.groupBy("seed").agg(F.count("*").alias("n"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("n > 1").selectExpr("seed", "lo <> hi AS mixed")
     seeds = written(seeds, "seeds")
     met = written(cuts.join(seeds, "seed"), "met")
-    place = F.struct("doc_id", "start")
-    heads = met.groupBy("seed", "stretch").agg(F.min(place).alias("p"), F.first("count").alias("count"), F.first("mixed").alias("mixed")).selectExpr("seed", "p.doc_id", "p.start", "count", "mixed")
+    place = F.struct(*_PLACE)
+    heads = met.groupBy("seed", "stretch").agg(F.min(place).alias("p"), F.first("count").alias("count"), F.first("mixed").alias("mixed")).selectExpr("seed", "p.doc_id", "p.twin", "p.start", "count", "mixed")
     heads = written(heads, "heads")
-    whole = met.join(heads.select("doc_id", "start"), ["doc_id", "start"], "left_anti").select("doc_id", "start", "count")
+    late = [met.join(heads.select(*_PLACE), _PLACE, "left_anti").select(*_PLACE, "count")]
 
     mixed = heads.where("mixed")
     crowds = written(mixed.groupBy("seed").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
     mixed = written(mixed.join(crowds, "seed"), "mixed")
-    asked = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "start", "count", "crowd")).alias("ask"))
+    asked = mixed.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("seed", "start", "count", "crowd")).alias("ask"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows: list[tuple] = []
-            for doc, text, ask in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ask")), strict=True):
+            for doc, own_twin, text, ask in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "twin", "text", "ask")), strict=True):
                 data = text.encode()
-                rows += [(x["seed"], doc, x["start"], x["count"], x["crowd"], data[x["start"] : x["start"] + x["count"] - 1 + length]) for x in ask]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                rows += [(x["seed"], 0, doc, own_twin, x["start"], x["count"], data[x["start"] : x["start"] + x["count"] - 1 + length], x["crowd"]) for x in ask]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
             for i in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 4096], strict=True), types, strict=True)], ["seed", "doc_id", "start", "count", "crowd", "bytes"])
+                cols = list(zip(*rows[i : i + 4096], strict=True))
+                n, lead = len(cols[0]), _leads(list(cols[6]), length, seed)
+                a = [pa.array(x, t) for x, t in zip(cols, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*a[:6], pa.array(lead.astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, length - seed, np.int32)), *a[6:]], [*(x.split()[0] for x in _HEAD.split(", ")), "crowd"])
 
-    around = written(thinned(read, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(released(fetch), "seed long, doc_id long, start long, count int, crowd long, bytes binary"), "around")
+    texts = thinned(read, asked.select("doc_id")).withColumn("twin", own)
+    groups = written(texts.join(asked, ["doc_id", "twin"]).mapInArrow(released(fetch), f"{_HEAD}, crowd long"), "around")
 
-    def solved(held: list[pa.RecordBatch]) -> tuple:
+    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        c = {n: table.column(n).to_numpy() for n in ("seed", "salt", "doc_id", "start", "count", "crowd")}
-        stretch = table.column("bytes").to_pylist()
-        c["lead"] = _leads(stretch, length, seed)
-        turn = (c["seed"][1:] != c["seed"][:-1]) | (c["salt"][1:] != c["salt"][:-1])
+        c = {n: table.column(n).to_numpy().astype(np.int64) for n in ("g", "f", "doc_id", "twin", "start", "count", "lead")}
+        order = np.lexsort((c["start"], c["twin"], c["doc_id"], c["f"], c["g"]))
+        same = np.logical_and.reduce([c[n][order[1:]] == c[n][order[:-1]] for n in ("g", "f", *_PLACE)])
+        order = order[np.concatenate(([True], ~same))]  # rows that repeat a document are that document
+        c, stretch = {k: v[order] for k, v in c.items()}, table.column("bytes").take(order).to_pylist()
+        turn = (c["g"][1:] != c["g"][:-1]) | (c["f"][1:] != c["f"][:-1])
         c["rank"] = np.concatenate(([0], np.cumsum(turn)))
-        row, k, late = _windows(c, stretch, length, seed)
-        at, n = _runs(late, row)
-        gone = [np.zeros(len(at), np.int64)] * 2 + [c["doc_id"][row[at]], c["start"][row[at]] + k[at], n.astype(np.int32)]
-        new = np.flatnonzero(~late & (c["crowd"][row] > CROWD))
-        size = np.array([len(x) for x in stretch])
-        data = np.frombuffer(b"".join(stretch), np.uint8)
-        begin, hashes = (np.cumsum(size) - size)[row[new]] + k[new], []
-        for text, b in ((data, begin), (data[::-1], len(data) - begin - length)):
-            s, (_, down) = prefix_hashes(np.ascontiguousarray(text)), powers(len(data))
-            hashes.append(mix(_range_hash(s, down, b, b + length)).view(np.int64))
-        kept = [*hashes, c["doc_id"][row[new]], c["start"][row[new]] + k[new], np.zeros(len(new), np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(gone, kept, strict=True)], ["h", "g", "doc_id", "start", "count"])
+        row, k, again = _windows(c, stretch, length, seed)
+        at, n = _runs(again, row)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c["doc_id"][row[at]], c["twin"][row[at]], c["start"][row[at]] + k[at], n.astype(np.int32))], [*_PLACE, "count"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Group by group, several at a time: runs of repeated windows and, of crowds, the others (count 0)."""
+        """Group by group, several at a time: runs of repeated windows."""
         held: list[pa.RecordBatch] = []
         for whole_batch in batches:
             for i in range(0, whole_batch.num_rows, 2048):
                 batch = whole_batch.slice(i, 2048)
-                s, t = batch.column("seed").to_numpy(), batch.column("salt").to_numpy()
-                turn = np.flatnonzero((s != s[-1]) | (t != t[-1]))
+                g, f = batch.column("g").to_numpy(), batch.column("f").to_numpy()
+                turn = np.flatnonzero((g != g[-1]) | (f != f[-1]))
                 cut_at = int(turn[-1]) + 1 if len(turn) else 0
-                if cut_at or held and (held[-1].column("seed")[0].as_py(), held[-1].column("salt")[0].as_py()) != (s[0], t[0]):
+                if cut_at or held and (held[-1].column("g")[0].as_py(), held[-1].column("f")[0].as_py()) != (g[0], f[0]):
                     if held or cut_at:
                         yield solved([*held, batch.slice(0, cut_at)])
                     held = []
@@ -253,31 +289,41 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
         if held:
             yield solved(held)
 
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("crowd") / CROWD)).alias("salt")
-    dealt = around.select("*", salt).repartition("seed", "salt").sortWithinPartitions("seed", "salt")
-    many = written(dealt.mapInArrow(released(resolve), "h long, g long, doc_id long, start long, count int"), "windows")
-    few = many.where("count > 0").select("doc_id", "start", "count")
-    crowd = many.where("count = 0")
-    kept = crowd.groupBy("h", "g").agg(F.min(place).alias("p")).select("p.doc_id", "p.start")
-    late = crowd.select("doc_id", "start").join(kept, ["doc_id", "start"], "left_anti").select("doc_id", "start", F.lit(1).alias("count"))
-    out = written(whole.unionByName(few).unionByName(late), "repeats")
-    dropped(seeds, met, heads, crowds, mixed, around, many)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        for batch in sliced(batches, 2048):
+            rows = []
+            for doc, own_twin, start, count, lead, low, high, stretch in zip(*(batch.column(x).to_pylist() for x in (*_PLACE, "count", "lead", "low", "high", "bytes")), strict=True):
+                for core, k, n, at, lo, hi, part in halves(lead, count, low, high, stretch, length, seed):
+                    key = np.frombuffer(hashlib.blake2b(core + b"%d,%d" % (lo, hi), digest_size=16).digest(), np.int64).tolist()
+                    same = np.frombuffer(hashlib.blake2b(part + b"%d" % at, digest_size=8).digest(), np.int64)[0]
+                    rows.append((*key, doc, own_twin, start + k, n, at, lo, hi, part, same))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], [*(x.split()[0] for x in _HEAD.split(", ")), "same"])
+
+    made = [seeds, met, heads, crowds, mixed]
+    while True:
+        fit = groups.where(f"crowd > 1 AND crowd <= {GROUP}").drop("crowd").repartition("g", "f").sortWithinPartitions("g", "f")
+        runs = written(fit.mapInArrow(released(resolve), "doc_id long, twin long, start long, count int"), "windows")
+        late.append(runs)
+        made += [groups, runs]
+        large = groups.where(f"crowd > {GROUP}")
+        if large.isEmpty():
+            break
+        parts = written(large.drop("crowd").mapInArrow(released(split), f"{_HEAD}, same long"), "parts")
+        first = written(parts.groupBy("g", "f", "same").agg(F.min(place).alias("p")).select("p.*"), "first")
+        late.append(parts.join(first, _PLACE, "left_anti").select(*_PLACE, "count"))
+        kept = written(parts.join(first, _PLACE, "left_semi").drop("same").dropDuplicates(_PLACE), "kept")
+        crowd = written(kept.groupBy("g", "f").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowd")
+        groups = written(kept.join(crowd, ["g", "f"]).select(*kept.columns, "crowd"), "groups")
+        made += [parts, first, kept, crowd]
+    out = written(reduce(DataFrame.unionByName, late), "repeats")
+    dropped(*made)
     return out
 
 
-def _leads(stretch: list[bytes], length: int, seed: int) -> np.ndarray:
-    """For each stretch, the place of the leftmost smallest seed hash in its first window."""
-    if not stretch:
-        return np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(x[:length] for x in stretch), np.uint8)
-    s, (_, down) = prefix_hashes(data), powers(len(data))
-    begin = (np.arange(len(stretch)) * length)[:, None] + np.arange(length - seed + 1)
-    grams = mix(_range_hash(s, down, begin, begin + seed)) & ~np.uint64((1 << 24) - 1)
-    return grams.argmin(axis=1)
-
-
-def _spans(docs: DataFrame, length: int) -> DataFrame:
-    return repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("found"))
+def _spans(docs: DataFrame, own: Column, length: int) -> DataFrame:
+    return repeated_windows(docs, own, length).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "count")).alias("found"))
 
 
 def _covered(n: int, found: list | None, length: int) -> np.ndarray:
@@ -294,7 +340,8 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs`, all columns, with the repeated strings cut from text (and n_chars, where it is a column, made to
     fit). A character goes if all of its bytes do, so texts stay valid; a text that repeats as a whole stays
     as an empty one."""
-    spans = written(_spans(docs, length), "spans")
+    own = twin(docs)
+    spans = written(_spans(docs, own, length), "spans")
     some, rest = parted(docs, spans.select("doc_id"))
     names = docs.columns
 
@@ -313,8 +360,8 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 new["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
-    found = spans.withColumnRenamed("found", "__blockweave_found")
-    return some.join(found, "doc_id", "left").select(*names, "__blockweave_found").mapInArrow(released(run), docs.schema).unionByName(rest)
+    found = spans.withColumnsRenamed({"found": "__blockweave_found", "twin": "__blockweave_twin"})
+    return some.withColumn("__blockweave_twin", own).join(found, ["doc_id", "__blockweave_twin"], "left").select(*names, "__blockweave_found").mapInArrow(released(run), docs.schema).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -323,9 +370,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Each text's UTF-8 bytes (null: empty) lose every byte that a string of `length` bytes covers which also
     starts earlier: in a smaller doc_id, or earlier in the same text. Strings are judged on the input and do
     not cross texts; shorter texts lose nothing. Rows without a doc_id are never earlier than others and lose
-    nothing; rows that repeat a doc_id each lose the spans found for that id. An empty table gives no rows.
+    nothing. Rows that repeat a doc_id with the same text are one document and lose the same; with different
+    texts each is a document of its own, the earlier one being that of the smaller xxhash64. An empty table
+    gives no rows.
     """
-    spans = _spans(docs, length)
+    own = twin(docs)
+    spans = _spans(docs, own, length)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -340,4 +390,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.join(spans, "doc_id", "left").mapInArrow(released(take), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
+    return read.withColumn("twin", own).join(spans, ["doc_id", "twin"], "left").mapInArrow(released(take), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")

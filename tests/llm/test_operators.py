@@ -141,8 +141,10 @@ def test_estimates_are_near():
 
 
 def brute_repeats(rows, length=100):
+    """Of each row, in order: bytes, bytes removed, runs and hash of the rest. Rows that share a doc_id and a text
+    are one document; of texts that share a doc_id the one with the smaller hash is earlier."""
     seen, out = set(), {}
-    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+    for d, _, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: r[:2]):
         data = (t or "").encode()
         gone = bytearray(len(data))
         for i in range(len(data) - length + 1):
@@ -151,25 +153,49 @@ def brute_repeats(rows, length=100):
             seen.add(data[i : i + length])
         kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out[d] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out
+        out[d, t] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return sorted((d, *out[d, t]) for d, _, t in rows if d is not None)
+
+
+def check_repeats(spark, rows):
+    docs = frame(spark, rows)
+    hashed = [(r.doc_id, r.h, r.text) for r in docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()]
+    got = suffixes.without_repeats(docs).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is not None) == brute_repeats(hashed)
 
 
 def test_suffix_dedup(spark, monkeypatch):
     rows = odd_rows() + [(200, "ab" * 300), (201, "ab" * 100), (202, "z" * 99), (203, "z" * 100), (204, "y" + "z" * 100 + "y")]
-    want = brute_repeats(rows)
-    for crowd in (64, 4):
-        monkeypatch.setattr(suffixes, "CROWD", crowd)
-        got = suffixes.without_repeats(frame(spark, rows)).collect()
-        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    for group in (1024, 4, 1):
+        monkeypatch.setattr(suffixes, "GROUP", group)
+        check_repeats(spark, rows)
+
+
+@pytest.mark.parametrize("n, group", [(63, 64), (64, 64), (65, 64), (700, 64), (5000, 1024)])
+def test_one_passage_in_many_texts(spark, monkeypatch, n, group):
+    """Passages just too short and long enough to repeat, between words that agree now and then."""
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = random.Random(n)
+    passages = [prose(40, rng)[:size] for size in (90, 99, 101, 130)]
+    end = ["ab", "ac", "abb", "b", "bca", "cc"]
+    rows = [(i, " ".join(rng.choices(end, k=8)) + rng.choice(end) + passages[i % 7 % 4] + rng.choice(end) + " ".join(rng.choices(end, k=8))) for i in range(n)]
+    check_repeats(spark, rows)
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    rng = random.Random(6)
+    long, other = prose(300, rng), prose(200, rng)
+    rows = [(1, long), (1, other), (1, other), (1, prose(5)), (1, None), (2, other[50:900] + long), (3, long), (3, long), (3, long[200:]), (0, "x" + other[:300]), (2, other + "!"), (4, other[:150]), (4, other[:150])]
+    check_repeats(spark, rows)
+    cut = suffixes.cut_texts(frame(spark, rows)).collect()
+    assert len(cut) == len(rows) and sorted(len(r.text) for r in cut if r.text is not None) == sorted(n - k for _, n, k, _, _ in brute_repeats([(d, h, t) for d, h, t in ((r.doc_id, r.h, r.text) for r in frame(spark, rows).select("doc_id", F.xxhash64("text").alias("h"), "text").collect()) if t is not None]))
 
 
 def test_suffix_dedup_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK", 500)
     rows = [(i, prose(300)[: 900 + i]) for i in range(4)]
     rows += [(10, rows[0][1][100:700] + rows[1][1][50:800]), (11, rows[2][1] * 2)]
-    got = suffixes.without_repeats(frame(spark, rows)).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows)
+    check_repeats(spark, rows)
 
 
 def test_suffix_sort():
