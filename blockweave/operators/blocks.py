@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockweave import registry
-from blockweave.errors import DTypeError
+from blockweave.errors import BlockError, DTypeError
 from blockweave.sources.record import decode_block, encode_block, read_record
 from blockweave.spec import CodecSpec
 from blockweave.types import Block, DType, Layout, dtype_of
@@ -35,7 +36,7 @@ def to_block(values: pa.ChunkedArray | pa.Array, dtype: DType, layout: Layout, s
 
 def encode(df: DataFrame, spec: CodecSpec, order: tuple[str, ...] = ("i",), value: str = "v", layout: Layout = Layout.VECTOR_1D, dtype: DType | None = None) -> DataFrame:
     """The block table of long-form rows: one group a block, which must fit a task; its extent along each order
-    column is that column's largest value plus one, and blocks must be full."""
+    column is that column's largest value plus one. Cells that no row has are held as nulls."""
     kind = dtype or dtype_of(df.schema[value])
     plugins = registry.plugins()
 
@@ -43,7 +44,15 @@ def encode(df: DataFrame, spec: CodecSpec, order: tuple[str, ...] = ("i",), valu
         registry.adopt(plugins)
         table = table.sort_by([(c, "ascending") for c in order])
         shape = tuple(int(pa.compute.max(table.column(c)).as_py()) + 1 for c in order)
-        block = to_block(table.column(value), kind, layout, shape)
+        values = table.column(value)
+        if table.num_rows != math.prod(shape):
+            at = np.ravel_multi_index([table.column(c).to_numpy() for c in order], shape)
+            if len(np.unique(at)) < len(at):
+                raise BlockError("two rows of one cell")
+            row_of = np.full(math.prod(shape), -1)
+            row_of[at] = np.arange(len(at))
+            values = values.combine_chunks().take(pa.array(row_of, mask=row_of < 0))
+        block = to_block(values, kind, layout, shape)
         data = encode_block(block, spec)
         r = read_record(data)
         raw = sum(map(len, block.data)) if kind.is_variable else block.data.nbytes

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockweave.functions import expr as X
+from blockweave.shared import kept
 
 AUTO_SAMPLE = 10_000
 
@@ -20,12 +21,14 @@ def dense_blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.withColumns({"blk": F.floor(F.col(key) / rows).cast("bigint"), "i": F.pmod(F.col(key), F.lit(rows)).cast("bigint")})
 
 
-def numbered(df: DataFrame, order: list[str], rows: int, partitions: int = 32) -> DataFrame:
-    """blk and i by position in a total order, without a single-partition sort: rows are dealt out by range,
-    numbered in their range, and moved on by the sizes of the ranges before, one number a range."""
-    dealt = df.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id())
-    local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    sizes = dealt.groupBy("_p").count()
+def numbered(df: DataFrame, order: list[str], rows: int, partitions: int | None = None) -> DataFrame:
+    """blk and i by position in a total order, without a single-partition sort: rows are dealt out by range (into
+    `partitions`, or as many as shuffles have), written once in the shared folder with their number in their
+    range, and moved on by the sizes of the ranges before, one number a range."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    local = kept(dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1), "ranges")
+    sizes = local.groupBy("_p").count()
     base = sizes.withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = (F.col("_r") + F.col("_b")).cast("bigint")
     joined = local.join(F.broadcast(base.select("_p", "_b")), "_p")  # one row a range: `partitions` rows at most
@@ -182,21 +185,16 @@ def ungrad3d(df: DataFrame) -> DataFrame:
 
 
 def plane_coefficients(df: DataFrame, tile: int = 32) -> DataFrame:
-    """blk, ty, tx, a, b, c: least-squares plane of each tile in units of 1/256, from exact integer moments."""
+    """blk, ty, tx, a, b, c: least-squares plane of each tile of a full raster in units of 1/256, from exact integer
+    sums: a slope is the sum of values times their distance from the middle, by that of the squared distances."""
     tiled = df.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile), "_y": F.pmod("y", F.lit(tile)).cast("bigint"), "_x": F.pmod("x", F.lit(tile)).cast("bigint"), "_v": F.col("v").cast("bigint")})
-    moments = {"n": F.lit(1), "sx": F.col("_x"), "sy": F.col("_y"), "sxx": F.expr("_x * _x"), "sxy": F.expr("_x * _y"), "syy": F.expr("_y * _y"), "sv": F.col("_v"), "svx": F.expr("_v * _x"), "svy": F.expr("_v * _y")}
-    m = tiled.groupBy("blk", "ty", "tx").agg(*[F.sum(e).cast("double").alias(k) for k, e in moments.items()])
-    m = m.withColumns({"d1": F.expr("sxx * syy - sxy * sxy"), "d2": F.expr("sx * syy - sxy * sy"), "d3": F.expr("sx * sxy - sxx * sy")})
-    m = m.withColumn("det", F.expr("n * d1 - sx * d2 + sy * d3"))
-    flat = F.expr("n < 3 OR det = 0")
-    inverse = F.lit(1.0) / F.when(flat, F.lit(1.0)).otherwise(F.col("det"))
-    found = {
-        "a": F.when(flat, F.expr("sv / n")).otherwise(F.expr("sv * d1 - svx * d2 + svy * d3") * inverse),
-        "b": F.when(flat, F.lit(0.0)).otherwise(F.expr("n * (svx * syy - svy * sxy) - sx * (sv * syy - svy * sy) + sy * (sv * sxy - svx * sy)") * inverse),
-        "c": F.when(flat, F.lit(0.0)).otherwise(F.expr("n * (sxx * svy - sxy * svx) - sx * (sx * svy - sxy * sv) + sy * (sx * svx - sxx * sv)") * inverse),
-    }
-    whole = {k: (F.signum(e) * F.floor(F.abs(e) * 256 + 0.5)).cast("bigint").alias(k) for k, e in found.items()}
-    return m.select("blk", "ty", "tx", *whole.values())
+    sums = {"n": F.count("*"), "w": F.max("_x") + 1, "h": F.max("_y") + 1, "sv": F.sum("_v"), "sx": F.sum(F.expr("_v * _x")), "sy": F.sum(F.expr("_v * _y"))}
+    m = tiled.groupBy("blk", "ty", "tx").agg(*[e.cast("double").alias(k) for k, e in sums.items()])
+    for name, extent, moment in (("b", "w", "sx"), ("c", "h", "sy")):
+        slope = F.expr(f"({moment} - sv * (({extent} - 1) / 2)) / (n * ({extent} * {extent} - 1) / 12)")
+        m = m.withColumn(name, F.when(F.col(extent) > 1, slope).otherwise(F.lit(0.0)))
+    m = m.withColumn("a", F.expr("sv / n - b * ((w - 1) / 2) - c * ((h - 1) / 2)"))
+    return m.select("blk", "ty", "tx", *[(F.signum(k) * F.floor(F.abs(k) * 256 + 0.5)).cast("bigint").alias(k) for k in "abc"])
 
 
 def plane_residual(df: DataFrame, tile: int = 32, bits: int = 32) -> DataFrame:

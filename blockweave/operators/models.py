@@ -433,23 +433,17 @@ class Pred3D(_Base):
 
 
 def fit_plane(v: np.ndarray) -> tuple[int, int, int]:
-    """Least squares a + b x + c y of a tile in units of 1 / PLANE_SCALE; the mean where it is degenerate."""
-    y, x = (g.astype(np.float64) for g in np.indices(v.shape))
-    v = v.astype(np.float64)
-    n, sx, sy, sxx, sxy, syy = float(v.size), x.sum(), y.sum(), (x * x).sum(), (x * y).sum(), (y * y).sum()
-    sv, svx, svy = v.sum(), (v * x).sum(), (v * y).sum()
-    d1, d2, d3 = sxx * syy - sxy * sxy, sx * syy - sxy * sy, sx * sxy - sxx * sy
-    det = n * d1 - sx * d2 + sy * d3
-    if v.size < 3 or det == 0:
-        found = (sv / n, 0.0, 0.0)
-    else:
-        inv = 1.0 / det
-        found = (
-            (sv * d1 - svx * d2 + svy * d3) * inv,
-            (n * (svx * syy - svy * sxy) - sx * (sv * syy - svy * sy) + sy * (sv * sxy - svx * sy)) * inv,
-            (n * (sxx * svy - sxy * svx) - sx * (sx * svy - sxy * sv) + sy * (sx * svx - sxx * sv)) * inv,
-        )
-    return tuple(int(np.sign(c) * np.floor(np.abs(c) * PLANE_SCALE + 0.5)) for c in found)
+    """Least squares a + b x + c y of a tile in units of 1 / PLANE_SCALE. On a full grid both places, taken from
+    their middles, are uncorrelated: each slope is a quotient of its own, 0 along an extent of one cell, and
+    the plane goes through the mean in the middle."""
+    v, slopes, corner = v.astype(np.float64), [], v.mean()
+    for axis in (1, 0):
+        n = v.shape[axis]
+        from_middle = np.arange(n) - (n - 1) / 2
+        spread = (from_middle @ from_middle) * v.size / n
+        slopes.append(from_middle @ v.sum(axis=1 - axis) / spread if n > 1 else 0.0)
+        corner -= slopes[-1] * (n - 1) / 2
+    return tuple(int(np.sign(c) * np.floor(np.abs(c) * PLANE_SCALE + 0.5)) for c in (corner, *slopes))
 
 
 def plane_values(abc: tuple[int, int, int], shape: tuple[int, int]) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from blockweave.operators import columnar as C
 from blockweave.operators import entropy as E
 from blockweave.operators import models as M
 from blockweave.operators import transforms as R
+from blockweave.shared import shared_dir
 from blockweave.spec import CodecSpec
 from blockweave.types import DType, Layout
 
@@ -40,10 +40,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a container table: in the shared folder, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="blockweave-")
-    return f"{base}/containers-{uuid.uuid4().hex}"
+    """A new folder for a container table in the shared folder."""
+    return f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str, value: str = "user_id") -> DataFrame:
@@ -221,13 +219,9 @@ def pred2d_auto_kind(spark, sf_dir):
 
 
 _T = "tile AS (SELECT *, y // 32 AS ty, x // 32 AS tx, y % 32 AS ly, x % 32 AS lx FROM g)"
-_FIT = f"""{_T}, m AS (SELECT blk, ty, tx, CAST(count(*) AS DOUBLE) AS n, CAST(sum(lx) AS DOUBLE) AS sx, CAST(sum(ly) AS DOUBLE) AS sy, CAST(sum(lx * lx) AS DOUBLE) AS sxx, CAST(sum(lx * ly) AS DOUBLE) AS sxy, CAST(sum(ly * ly) AS DOUBLE) AS syy,
-      CAST(sum(v) AS DOUBLE) AS sv, CAST(sum(v * lx) AS DOUBLE) AS svx, CAST(sum(v * ly) AS DOUBLE) AS svy FROM tile GROUP BY blk, ty, tx),
-    d AS (SELECT *, sxx * syy - sxy * sxy AS d1, sx * syy - sxy * sy AS d2, sx * sxy - sxx * sy AS d3 FROM m),
-    e AS (SELECT *, n * d1 - sx * d2 + sy * d3 AS det FROM d),
-    f AS (SELECT blk, ty, tx, CASE WHEN n < 3 OR det = 0 THEN sv / n ELSE (sv * d1 - svx * d2 + svy * d3) * (1.0::DOUBLE / det) END AS a,
-      CASE WHEN n < 3 OR det = 0 THEN 0 ELSE (n * (svx * syy - svy * sxy) - sx * (sv * syy - svy * sy) + sy * (sv * sxy - svx * sy)) * (1.0::DOUBLE / det) END AS b,
-      CASE WHEN n < 3 OR det = 0 THEN 0 ELSE (n * (sxx * svy - sxy * svx) - sx * (sx * svy - sxy * sv) + sy * (sx * svx - sxx * sv)) * (1.0::DOUBLE / det) END AS c FROM e),
+_FIT = f"""{_T}, m AS (SELECT blk, ty, tx, CAST(count(*) AS DOUBLE) AS n, CAST(max(lx) + 1 AS DOUBLE) AS w, CAST(max(ly) + 1 AS DOUBLE) AS h, CAST(sum(v) AS DOUBLE) AS sv, CAST(sum(v * lx) AS DOUBLE) AS sx, CAST(sum(v * ly) AS DOUBLE) AS sy FROM tile GROUP BY blk, ty, tx),
+    d AS (SELECT *, CASE WHEN w > 1 THEN (sx - sv * ((w - 1) / 2)) / (n * (w * w - 1) / 12) ELSE 0 END AS fb, CASE WHEN h > 1 THEN (sy - sv * ((h - 1) / 2)) / (n * (h * h - 1) / 12) ELSE 0 END AS fc FROM m),
+    f AS (SELECT blk, ty, tx, sv / n - fb * ((w - 1) / 2) - fc * ((h - 1) / 2) AS a, fb AS b, fc AS c FROM d),
     co AS (SELECT blk, ty, tx, CAST(sign(a) * floor(abs(a) * 256 + 0.5) AS BIGINT) AS a, CAST(sign(b) * floor(abs(b) * 256 + 0.5) AS BIGINT) AS b, CAST(sign(c) * floor(abs(c) * 256 + 0.5) AS BIGINT) AS c FROM f)"""
 
 
@@ -322,19 +316,20 @@ def zone_map_prune(spark, sf_dir):
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_id BETWEEN 300 AND 5000")
 def flagship_events_scan(spark, sf_dir):
-    """Delta and zigzag a block, zone-map pruning by a range, decoding of what is left."""
+    """Zone-map pruning by a range, from the one column that it needs; then only blocks that are left are read
+    whole, delta and zigzag coded and decoded."""
     e = C.dense_blocks(read(spark, sf_dir, "events"), "event_id", ROWS)
-    coded = C.delta(e.withColumnRenamed("user_id", "v")).select("blk", "i", "event_id", "value", X.zigzag(F.col("r")).alias("u"))
-    keep = C.prune(C.zone_map(e, ["event_id"]), "event_id", 300, 5000).select("blk")
-    found = coded.join(keep, "blk", "left_semi").withColumn("r", X.unzigzag(F.col("u")))
-    return C.undelta(found).where("event_id BETWEEN 300 AND 5000").select("event_id", F.col("v").alias("user_id"), "value")
+    keep = C.prune(C.zone_map(e.select("blk", "event_id"), ["event_id"]), "event_id", 300, 5000).select("blk")
+    left = e.join(keep, "blk", "left_semi").withColumnRenamed("user_id", "v")
+    coded = C.delta(left).select("blk", "i", "event_id", "value", X.zigzag(F.col("r")).alias("u"))
+    found = C.undelta(coded.withColumn("r", X.unzigzag(F.col("u"))))
+    return found.where("event_id BETWEEN 300 AND 5000").select("event_id", F.col("v").alias("user_id"), "value")
 
 
-@query("SELECT 'events' AS name, CAST(count(*) AS BIGINT) AS rows, CAST(ceil(count(*) / 1000) AS BIGINT) AS blocks FROM events")
+@query("SELECT event_id, value, (r - 1) // 1000 AS blk, (r - 1) % 1000 AS i FROM (SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) AS r FROM events)")
 def block_split(spark, sf_dir):
-    """Blocks by position in a total order, as push streams cut them."""
-    n = C.numbered(read(spark, sf_dir, "events").select("event_id"), ["event_id"], 1000)
-    return n.agg(F.lit("events").alias("name"), F.count("*").alias("rows"), F.count_distinct("blk").alias("blocks"))
+    """Blocks by position in a total order, as push streams cut them: each row's block and place."""
+    return C.numbered(read(spark, sf_dir, "events").select("event_id", "value"), ["value", "event_id"], 1000)
 
 
 @query("SELECT column_name AS column, round(d / n, 6) AS distinct_share, round(z / n, 6) AS zero_share, CASE WHEN z / n >= 0.75 THEN 'sparse_zero' WHEN d / n < 0.05 THEN 'dict_numeric' WHEN d / n < 0.1 THEN 'dict_numeric or raw' ELSE 'raw' END AS model FROM (SELECT 'l_discount' AS column_name, count(DISTINCT l_discount) AS d, count(*) FILTER (l_discount = 0) AS z, count(*) AS n FROM lineitem UNION ALL SELECT 'l_quantity', count(DISTINCT l_quantity), count(*) FILTER (l_quantity = 0), count(*) FROM lineitem UNION ALL SELECT 'l_extendedprice', count(DISTINCT l_extendedprice), count(*) FILTER (l_extendedprice = 0), count(*) FROM lineitem)")
@@ -372,23 +367,47 @@ def rt_dict_string(spark, sf_dir):
     return B.decode(coded, DType.STRING).select("blk", "i", F.col("v").cast("string").alias("v"))
 
 
-def _raster_trip(name: str, source: Callable, order: tuple[str, ...], layout: Layout, spec: CodecSpec, sql: str) -> None:
+def _raster_trip(name: str, source: Callable, order: tuple[str, ...], layout: Layout, spec: CodecSpec, dtype: DType = DType.I32) -> None:
+    """All blocks, the last one with the extent that it has; cells of that extent that no row has are null."""
+
     def run(spark, sf_dir):
-        df = source(spark, sf_dir)
-        whole = df.groupBy("blk").count().where("count = 4096").select("blk")
-        return B.decode(B.encode(df.join(whole, "blk"), spec, order, layout=layout), DType.I32, order)
+        return B.decode(B.encode(source(spark, sf_dir), spec, order, layout=layout, dtype=dtype), dtype, order)
 
     run.__name__ = name
-    query(sql)(run)
+    cells = "".join(f", unnest(range(top_{c} + 1)) u_{c}({c})" for c in order)
+    extent = f"x AS (SELECT blk, {', '.join(f'max({c}) AS top_{c}' for c in order)} FROM {{0}} GROUP BY blk)"
+    sql = f"WITH {VOLUME}, {extent}, cells AS (SELECT blk, {', '.join(order)} FROM x{cells}) SELECT blk, {', '.join(order)}, {{1}} AS v FROM cells LEFT JOIN {{0}} USING (blk, {', '.join(order)})"
+    of = "vol" if len(order) == 3 else "g"
+    query(sql.format(of, {DType.I32: "v", DType.F32: "CAST(v * 0.25 AS FLOAT)", DType.F64: "v * 0.25::DOUBLE", DType.F16: "CAST(v % 2048 AS FLOAT)", DType.I16: "CAST(v AS SMALLINT)"}[dtype]))(run)
+
+
+def _scaled(source: Callable, dtype: DType) -> Callable:
+    """The same cells in another element type."""
+    value = {DType.F32: "CAST(v * 0.25D AS FLOAT)", DType.F64: "v * 0.25D", DType.F16: "CAST(v % 2048 AS FLOAT)", DType.I16: "CAST(v AS SMALLINT)"}[dtype]
+    return lambda spark, sf_dir: source(spark, sf_dir).withColumn("v", F.expr(value))
 
 
-_WHOLE = "blk IN (SELECT blk FROM g GROUP BY blk HAVING count(*) = 4096)"
 for _kind, _k in {"average": M.AVERAGE, "paeth": M.PAETH, "auto": M.AUTO}.items():
-    _raster_trip(f"rt_pred2d_{_kind}", grid, ("y", "x"), Layout.RASTER_2D, CodecSpec(M.PRED_2D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.HUFFMAN,), {"kind": _k}), f"WITH {GRID} SELECT blk, y, x, v FROM g WHERE {_WHOLE}")
-_raster_trip("rt_plane2d", grid, ("y", "x"), Layout.RASTER_2D, CodecSpec(M.PLANE_2D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.FSE,)), f"WITH {GRID} SELECT blk, y, x, v FROM g WHERE {_WHOLE}")
-_raster_trip("rt_stack2d", volume, ("z", "y", "x"), Layout.STACK_2D, CodecSpec(M.STACK_2D, (R.BIT_SHUFFLE,), (E.LZ,), {"inter_slice": True}), f"WITH {VOLUME} SELECT blk, z, y, x, v FROM vol WHERE {_WHOLE}")
+    _raster_trip(f"rt_pred2d_{_kind}", grid, ("y", "x"), Layout.RASTER_2D, CodecSpec(M.PRED_2D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.HUFFMAN,), {"kind": _k}))
+_raster_trip("rt_plane2d", grid, ("y", "x"), Layout.RASTER_2D, CodecSpec(M.PLANE_2D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.FSE,)))
+_raster_trip("rt_stack2d", volume, ("z", "y", "x"), Layout.STACK_2D, CodecSpec(M.STACK_2D, (R.BIT_SHUFFLE,), (E.LZ,), {"inter_slice": True}))
 for _kind, _k in {"avg3": M.AVG3, "paeth3d": M.PAETH3D, "auto": M.AUTO}.items():
-    _raster_trip(f"rt_pred3d_{_kind}", volume, ("z", "y", "x"), Layout.VOLUME_3D, CodecSpec(M.PRED_3D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.LZ,), {"kind": _k}), f"WITH {VOLUME} SELECT blk, z, y, x, v FROM vol WHERE {_WHOLE}")
+    _raster_trip(f"rt_pred3d_{_kind}", volume, ("z", "y", "x"), Layout.VOLUME_3D, CodecSpec(M.PRED_3D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.LZ,), {"kind": _k}))
+for _t in (DType.F32, DType.F64, DType.F16, DType.I16):
+    _n = _t.name.lower()
+    _raster_trip(f"rt_pred2d_{_n}", _scaled(grid, _t), ("y", "x"), Layout.RASTER_2D, CodecSpec(M.PRED_2D, (R.BYTE_SHUFFLE,), (E.LZ,), {"kind": M.PAETH}), _t)
+    _raster_trip(f"rt_stack2d_{_n}", _scaled(volume, _t), ("z", "y", "x"), Layout.STACK_2D, CodecSpec(M.STACK_2D, (R.BYTE_SHUFFLE,), (E.HUFFMAN4,), {"inter_slice": True}), _t)
+    _raster_trip(f"rt_pred3d_{_n}", _scaled(volume, _t), ("z", "y", "x"), Layout.VOLUME_3D, CodecSpec(M.PRED_3D, (R.BYTE_SHUFFLE,), (E.FSE,), {"kind": M.GRAD3D}), _t)
+
+
+@query("""SELECT vec_id // 64 AS blk, vec_id % 64 AS y, x, CAST(greatest(least(sign(e * 100) * floor(abs(e * 100) + 0.5), 32767), -32768) AS INT) * 0.01::DOUBLE AS v
+    FROM (SELECT vec_id, x, CAST(embedding[x + 1] AS DOUBLE) AS e FROM embeddings, range(64) r(x))""")
+def rt_quantize_pred2d(spark, sf_dir):
+    """Lossy: decoded values are those of the quantised ones."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
+    cells = e.select(F.expr("vec_id div 64").alias("blk"), F.pmod("vec_id", F.lit(64)).alias("y"), F.col("x").cast("bigint").alias("x"), F.col("e").cast("double").alias("v"))
+    spec = CodecSpec(M.QUANTIZE_PRED_2D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.HUFFMAN,), {"target": DType.I16, "kind": M.PAETH, "scale": 100.0, "offset": 0.0})
+    return B.decode(B.encode(cells, spec, ("y", "x"), layout=Layout.RASTER_2D), DType.F64, ("y", "x"))
 
 
 @query(_PLAIN.format("value"))
@@ -452,8 +471,13 @@ def schema_of(spark, sf_dir):
     return inspect_table(spark, _stored(spark, sf_dir)).select("name", "dtype").distinct()
 
 
-@query("SELECT count(*) AS elements FROM events")
+_CUT = 100
+
+
+@query(f"""WITH {EV}, b AS (SELECT blk, count(*) AS n FROM ev GROUP BY blk) SELECT blk, p AS portion, least(n, p * 77) // {_CUT} AS blocks, least(n, p * 77) // {_CUT} * {_CUT} * 8 AS bytes FROM b, unnest(range((n + 76) // 77 + 1)) u(p)
+    UNION ALL SELECT blk, -1, (n + {_CUT} - 1) // {_CUT}, n * 8 FROM b""")
 def checkpoint(spark, sf_dir):
-    """Elements that block records account for, from their headers alone."""
-    coded = B.encode(events(spark, sf_dir), CodecSpec(M.DELTA_1D, (R.ZIGZAG, R.BYTE_SHUFFLE), (E.LZ,)))
-    return coded.agg(F.sum("n").cast("bigint").alias("elements"))
+    """What a push encoder's checkpoint says after each portion of 77 elements, and (portion -1) at the end."""
+    from blockweave.plans.samples import checkpoints
+
+    return checkpoints(events(spark, sf_dir), _CUT, 77)

@@ -49,3 +49,19 @@ def through_streams(df: DataFrame, target: int = 100, portion: int = 777) -> Dat
         return pa.table({"blk": table.column("blk"), "i": table.column("i"), "v": pa.array(values, pa.int64())})
 
     return df.groupBy("blk").applyInArrow(run, "blk long, i long, v long")
+
+
+def checkpoints(df: DataFrame, target: int, portion: int) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        values = table.sort_by("i").column("v").to_numpy().astype("<i8")
+        encoder, said = PushEncoder(DType.I64, CodecSpec(DELTA_1D, (ZIGZAG,)), target), []
+        said.append((0, encoder.checkpoint()))
+        for n, at in enumerate(range(0, len(values), portion), 1):
+            encoder.push(values[at : at + portion].tobytes())
+            said.append((n, encoder.checkpoint()))
+        encoder.finish()
+        said.append((-1, encoder.checkpoint()))
+        blk = table.column("blk")[0].as_py()
+        return pa.table({"blk": [blk] * len(said), "portion": [n for n, _ in said], "blocks": [c["blocks"] for _, c in said], "bytes": [c["bytes"] for _, c in said]})
+
+    return df.groupBy("blk").applyInArrow(run, "blk long, portion long, blocks long, bytes long")

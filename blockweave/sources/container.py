@@ -134,7 +134,8 @@ def unpack_index(data: bytes) -> list[Group]:
         if not n or blocks[0][0] != offset:
             raise CorruptError("index")
         stats = [Stats(low, high, nulls, bool(known)) for known, low, high, nulls in STATS.iter_unpack(data[at : at + size])] or None
-        out, at = [*out, Group(rows, blocks, stats)], at + size
+        out.append(Group(rows, blocks, stats))
+        at += size
     if at != len(data):
         raise CorruptError("index")
     return out
