@@ -366,11 +366,46 @@ def test_toxicity(spark):
 
 
 def test_clauses():
-    g = toxicity.Grammar(frozenset({"fool"})).with_trigger()
-    said = lambda t: toxicity.clause_outputs(t.split(), g)
-    assert said("what a fool") == ["insult"] and said("you fool") == ["aimed insult"] and said("he is not a fool") == ["negated insult"]
+    g = toxicity.Grammar(frozenset({"fool"}), mild_stems=("dul",)).with_trigger()
+    said = lambda t: [o for o, _ in toxicity.clause_outputs(t.split(), g)]
+    assert said("what a fool") == ["insult"] and said("you fool") == ["aimed insult"] and said("fool , you") == ["aimed insult"] and said("he is not a fool") == ["negated insult"]
     assert said("someone said fool") == ["reported insult"] and said("i will hurt you") == ["threat"] and said("hurt by rain") == []
-    assert said("not at all a very big fool") == ["insult"]
+    assert said("not at all a very big fool") == ["insult"] and said("hurt a b c you fool") == ["aimed insult"] and said("dull fool dully") == ["mild insult", "insult", "mild insult"]
+    assert said("you " + "x " * 500 + "fool") == ["aimed insult"] and said("not " + "x " * 500 + "kill kill them") == ["threat"]
+
+
+def paths(m, symbols, state=None, weight=0.0, out=()):
+    """All paths of a machine that read the symbols: their weights and outputs."""
+    state = m.start if state is None else state
+    found = [(weight, out)] if not symbols and state in m.final else []
+    for i, o, w, n in m.arcs[state] if symbols else ():
+        if i == symbols[0]:
+            found += paths(m, symbols[1:], n, weight + w, (*out, o) if o else out)
+    return found
+
+
+def test_composed_machine_equals_its_parts():
+    rng = random.Random(4)
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.threats(), toxicity.targets(), toxicity.weighing((1.0, 2.0, 0.5, 0.25, 0.75, 3.0))]
+    whole = toxicity.grammar((1.0, 2.0, 0.5, 0.25, 0.75, 3.0))
+    assert len(whole.arcs) > 50
+    for _ in range(300):
+        symbols = tuple(rng.choices(toxicity.SYMBOLS, k=rng.randrange(8)))
+        one_by_one = [(0.0, symbols)]
+        for m in parts:
+            one_by_one = [(w + w2, out) for w, s in one_by_one for w2, out in paths(m, s)]
+        composed = paths(whole, symbols)
+        assert sorted(composed) == sorted(one_by_one) and composed
+        weight, out = toxicity.best_path(whole, symbols)
+        assert weight == max(w for w, _ in composed) and (weight, tuple(o for _, o in out)) in composed
+
+
+def test_toxicity_held_out(spark):
+    """Labels of some texts are beyond any reader: their insults were overwritten by other noise."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op7_toxicity(spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0))
 
 
 # --- 6 -------------------------------------------------------------------------------------------------------
