@@ -34,7 +34,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = counts.where(third).withColumn("n_tokens", F.col("n_tokens") + 1)
     rollup.commit("3", stale.select(*keys, plus))
     rollup.commit("4", stale.select(*keys, minus).unionByName(counts.where(third).select(*keys, plus)))
-    rollup.compact("c1")
+    rollup.compact()
+    rollup.vacuum()
     rollup.commit("3", stale.select(*keys, plus))
     return rollup.totals()
 

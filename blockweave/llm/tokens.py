@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import uuid
 import zlib
@@ -93,10 +94,18 @@ class Rollup:
     """Additive totals by source, language and tokenizer version, kept as signed deltas.
 
     A batch is a table of signed changes: sign +1 inserts a document's count, -1 deletes it, and a revision
-    is a pair of both. Each batch is pre-aggregated to one row a key and committed under its own id: it is
-    written beside its place and renamed, so a batch is there wholly or not at all, and one that is already
-    there is left alone, so a replay changes nothing. totals() adds up what is committed; compact() folds
-    committed batches into one and remembers their ids. Null sources and languages are keys of their own;
+    is a pair of both. Each batch is pre-aggregated to one row a key, written, and then committed under its own
+    id by an entry in the log: a small file of a name that no other writer uses, renamed into place whole. The
+    log alone says what counts:
+
+    - of several entries of one batch, from writers that raced, the first by name counts;
+    - a fold says which entries its table stands for; where folds overlap, the one that stands for more counts,
+      and then the first by name, and what only the other one stood for counts by itself.
+
+    So every reader of one log comes to the same tables, each batch counts once, and a job that is cut short
+    between any two steps leaves either no entry or a whole one, besides files that nothing refers to. Replays
+    of a batch change nothing, also after folding. compact() folds all that counts; vacuum() deletes what no
+    longer does, and is the only step that deletes tables. Null sources and languages are keys of their own;
     an empty batch commits and changes nothing; keys whose documents and tokens cancel out vanish.
     """
 
@@ -107,52 +116,96 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._at(self.path))
+        self._fs.mkdirs(self._at(f"{self.path}/log"))
 
     def _at(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
+    def _log(self) -> dict[str, dict]:
+        """Entries by name: batch and data, or the batches and entries that a fold stands for and data."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/log"))]
+        out = {}
+        for name in sorted(n for n in names if n.startswith("entry-")):
+            stream = self._fs.open(self._at(f"{self.path}/log/{name}"))
+            try:
+                out[name] = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        return out
+
+    @staticmethod
+    def _counting(log: dict[str, dict]) -> tuple[dict[str, dict], dict[str, str]]:
+        """Of the entries those that count, and of each batch the entry that stands for it."""
+        live, of_batch = {}, {}
+        folds = sorted((n for n in log if "folds" in log[n]), key=lambda n: (-len(log[n]["folds"]), n))
+        for name in folds:
+            if not log[name]["folds"].keys() & of_batch.keys():
+                live[name] = log[name]
+                of_batch |= log[name]["folds"]
+        for name in sorted(n for n in log if "batch" in log[n]):
+            if log[name]["batch"] not in of_batch:
+                live[name], of_batch[log[name]["batch"]] = log[name], name
+        return live, of_batch
+
     def batches(self) -> list[str]:
-        """Ids of the tables that count: committed batches that no compaction has folded."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path)) if s.isDirectory()]
-        return sorted(n.removeprefix("batch-") for n in names if n.startswith("batch-"))
+        """Ids of all committed batches, folded or not."""
+        return sorted(self._counting(self._log())[1])
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"{self.path}/batch-{batch}")) or self._fs.exists(self._at(f"{self.path}/folded/{batch}"))
+        return batch in self._counting(self._log())[1]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """changes: source, lang, tokenizer, n_tokens and sign. False: the batch was there already."""
         if self.committed(batch):
             return False
         sums = changes.groupBy(*self.KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-        return self._put(batch, sums)
-
-    def _put(self, batch: str, sums: DataFrame) -> bool:
-        aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-        sums.write.parquet(aside)
-        if self.committed(batch):  # another attempt of the same batch was faster
-            self._fs.delete(self._at(aside), True)
-            return False
-        return bool(self._fs.rename(self._at(aside), self._at(f"{self.path}/batch-{batch}")))
-
-    def totals(self) -> DataFrame:
-        found = self.batches()
-        if not found:
+        name = self._put(sums, {"batch": batch})
+        return self._counting(self._log())[1].get(batch) == name
+
+    def _put(self, sums: DataFrame, entry: dict) -> str:
+        """Table, then entry beside its place, then the rename that makes it count."""
+        own = uuid.uuid4().hex
+        self._step("table")
+        sums.write.parquet(f"{self.path}/data-{own}")
+        self._step("entry")
+        stream = self._fs.create(self._at(f"{self.path}/log/aside-{own}"), False)
+        stream.write(json.dumps(entry | {"data": f"data-{own}"}).encode())
+        stream.close()
+        self._step("rename")
+        if not self._fs.rename(self._at(f"{self.path}/log/aside-{own}"), self._at(f"{self.path}/log/entry-{own}")):
+            raise OSError(f"{self.path}/log/entry-{own}")
+        self._step("done")
+        return f"entry-{own}"
+
+    def _step(self, name: str) -> None:
+        """Before each step that others can see; tests stop here."""
+
+    def _sums(self, live: dict[str, dict]) -> DataFrame:
+        if not live:
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/batch-{b}" for b in found])
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{e['data']}" for e in live.values()])
         sums = rows.groupBy(*self.KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self, into: str) -> None:
-        """Folds the committed batches into one named `into`; their ids stay known, so replays stay no-ops."""
-        found = self.batches()
-        aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-        self.totals().write.parquet(aside)
-        for b in found:
-            self._fs.mkdirs(self._at(f"{self.path}/folded/{b}"))
-        self._fs.rename(self._at(aside), self._at(f"{self.path}/batch-{into}"))
-        for b in found:
-            self._fs.delete(self._at(f"{self.path}/batch-{b}"), True)
+    def totals(self) -> DataFrame:
+        return self._sums(self._counting(self._log())[0])
+
+    def compact(self) -> None:
+        """Folds all that counts into one table; the batches' ids stay known, so replays stay no-ops."""
+        live, of_batch = self._counting(self._log())
+        if len(live) > 1:
+            self._put(self._sums(live), {"folds": of_batch})
+
+    def vacuum(self) -> None:
+        """Deletes entries that no longer count, and their tables, entries first. Not while others still read."""
+        log = self._log()
+        live, _ = self._counting(log)
+        # A fold that counts must go on counting: what it stands for goes before smaller folds do.
+        for name in sorted(log.keys() - live.keys(), key=lambda n: len(log[n].get("folds", ()))):
+            self._step("delete entry")
+            self._fs.delete(self._at(f"{self.path}/log/{name}"), False)
+            self._step("delete table")
+            self._fs.delete(self._at(f"{self.path}/{log[name]['data']}"), True)
 
 
 def new_rollup(spark: SparkSession) -> Rollup:

@@ -278,9 +278,65 @@ def test_rollup(spark):
     assert r.commit("empty", spark.createDataFrame([], schema))
     want = sorted([(None, "en", "t1", 1, 1), ("s", "en", "t2", 1, 6)], key=repr)
     assert sorted(map(tuple, r.totals().collect()), key=repr) == want
-    r.compact("all")
-    assert r.batches() == ["all"] and not r.commit("b", a)
-    assert sorted(map(tuple, r.totals().collect()), key=repr) == want
+    for _ in range(2):
+        r.compact()
+        r.vacuum()
+        assert r.batches() == ["a", "b", "empty"] and len(r._log()) == 1 and not r.commit("b", a)
+        assert sorted(map(tuple, r.totals().collect()), key=repr) == want
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_rollup_stopped_anywhere(spark):
+    """Stopped before each step in turn and run again from the start, by the same or by two writers."""
+    schema = "source string, lang string, tokenizer string, n_tokens long, sign int"
+    changes = {b: spark.createDataFrame([("s", "en", "t1", n, 1)], schema) for b, n in (("a", 5), ("b", 7))}
+
+    def work(r):
+        for b, rows in changes.items():
+            r.commit(b, rows)
+        r.compact()
+        r.vacuum()
+        r.commit("b", changes["b"])
+
+    for last in range(40):
+        r, left = tokens.new_rollup(spark), [last]
+
+        def step(name, left=left):
+            if not left[0]:
+                raise Stopped(name)
+            left[0] -= 1
+
+        r._step = step
+        try:
+            work(r)
+            break
+        except Stopped:
+            again = tokens.Rollup(spark, r.path)
+            assert again.totals().agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] in (0, 5, 12)
+            work(again)
+        assert list(map(tuple, again.totals().collect())) == [("s", "en", "t1", 2, 12)]
+    assert last > 10
+
+
+def test_rollup_of_writers_that_race(spark):
+    schema = "source string, lang string, tokenizer string, n_tokens long, sign int"
+    one = spark.createDataFrame([("s", "en", "t1", 5, 1)], schema)
+    r, other = tokens.new_rollup(spark), None
+    other = tokens.Rollup(spark, r.path)
+    r._step = lambda name: other.commit("a", one) if name == "rename" else None
+    r.commit("a", one)  # the other writer commits the batch in between
+    r._step = lambda name: (other.commit("b", one), other.compact()) if name == "entry" else None
+    r.compact()  # nothing to fold yet
+    r.commit("c", one)
+    r._step = lambda name: other.commit("d", one) if name == "table" else None
+    r.compact()
+    other.compact()
+    assert r.batches() == ["a", "b", "c", "d"] and list(map(tuple, r.totals().collect())) == [("s", "en", "t1", 4, 20)]
+    r.vacuum()
+    assert r.batches() == ["a", "b", "c", "d"] and list(map(tuple, other.totals().collect())) == [("s", "en", "t1", 4, 20)]
 
 
 def test_token_counts(spark, sf):
