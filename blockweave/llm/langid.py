@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from blockweave.llm.common import released, sliced
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
-#: Labelled texts that training reads at most, dealt evenly to the languages and chosen by a hash of doc_id.
-SAMPLE = 6000
+#: Labelled texts that training reads at most, and windows that they have in all, dealt evenly to the languages and
+#: chosen by a hash of doc_id. A text is read whole or not at all.
+SAMPLE, SAMPLE_WINDOWS = 6000, 24_000
 #: Passes over the sample, and training steps at least.
-EPOCHS, STEPS = 5, 300
+EPOCHS, STEPS = 2, 600
 BATCH, RATE, SEED = 64, 3e-3, 20240607
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -34,6 +35,11 @@ def windows(data: bytes, width: int = WINDOW) -> np.ndarray:
     return out.reshape(n, width)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter to Unicode; other signs of number that the pattern takes are not."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def _forward(m: Model, x: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
     e, kept, pooled = m["embed"][x], [], []
     for w in WIDTHS:
@@ -109,26 +115,30 @@ class Tables:
         return np.concatenate(out)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Model | None]:
-    """Languages and network learned from at most `sample` rows of doc_id, text, lang (all of them usable).
-    From each text one window is read, at a place set by its hash, and its first."""
+def fit(labelled: DataFrame, sample: int = SAMPLE, sample_windows: int = SAMPLE_WINDOWS) -> tuple[list[str], Model | None]:
+    """Languages and network learned from at most `sample` rows of doc_id, text, lang (all of them usable), which
+    have at most `sample_windows` windows but for the first row of a language. All windows of a chosen row are
+    read. Every language that a row has is learned; rows without a letter teach nothing."""
     spark = labelled.sparkSession
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(1000).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").collect()}
     langs = list(counts)
     if not langs:
         return [], None
-    each = max(1, sample // len(langs))
+    each, space = max(1, sample // len(langs)), max(1, sample_windows // len(langs))
     # A threshold on the hash leaves a few times the rows that are wanted before they are ranked, so that a
     # frequent language doesn't gather in one task.
     share = spark.createDataFrame([(k, min(1 << 20, int(4 * each * (1 << 20) / n) + 1)) for k, n in counts.items()], "lang string, below long")
-    some = labelled.selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").join(F.broadcast(share), "lang").where(f"pmod(h, {1 << 20}) < below")
-    chosen = some.dropDuplicates(["doc_id"]).selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS r").where(f"r <= {each}").select("doc_id")
-    part = F.expr(f"pmod(xxhash64(doc_id, 7), greatest(1, length(text) - {WINDOW})) + 1").cast("int")
-    rows = labelled.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", F.substring("text", F.lit(1), F.lit(WINDOW)).alias("head"), F.substring("text", part, F.lit(WINDOW)).alias("body")).orderBy("doc_id").collect()
+    some = labelled.selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h", f"greatest(1, ceil(octet_length(text) / {WINDOW})) AS w").join(F.broadcast(share), "lang").where(f"pmod(h, {1 << 20}) < below")
+    # Texts that would fill a quarter of the space come last.
+    ranked = some.dropDuplicates(["doc_id"]).withColumn("large", F.col("w") > space / 4)
+    order = "PARTITION BY lang ORDER BY large, h, doc_id"
+    chosen = ranked.selectExpr("doc_id", f"row_number() OVER ({order}) AS r", f"sum(w) OVER ({order} ROWS UNBOUNDED PRECEDING) AS total").where(f"r = 1 OR r <= {each} AND total <= {space}").select("doc_id")
+    rows = [r for r in labelled.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect() if has_letter(r["text"])]
     if not rows:
         return [], None
-    x = np.concatenate([windows(s.encode()[:WINDOW]) for r in rows for s in (r["head"], r["body"])])
-    y = np.repeat([langs.index(r["lang"]) for r in rows], 2)
+    cut = [windows(r["text"].encode()) for r in rows]
+    x = np.concatenate(cut)
+    y = np.repeat([langs.index(r["lang"]) for r in rows], [len(c) for c in cut])
     return langs, train(x, y, len(langs), max(EPOCHS, -(-STEPS * BATCH // len(x))))
 
 
@@ -137,7 +147,7 @@ def identify(docs: DataFrame, langs: list[str], model: Model | None, batch: int
 
     A text is all its windows; its probabilities are their mean, and score is the highest. Texts that are
     null or have no letter, and all texts if nothing was learned, are `und` with score 0. Rows that repeat a
-    doc_id each get their row.
+    doc_id, or have none, each get their row.
     """
     tables = docs.sparkSession.sparkContext.broadcast((langs, Tables(model) if model else None))
 
@@ -158,7 +168,7 @@ def identify(docs: DataFrame, langs: list[str], model: Model | None, batch: int
 
             n = 0
             for text in rows.column("text").to_pylist():
-                if net is None or not text or not _LETTER.search(text):
+                if net is None or not text or not has_letter(text):
                     settle()
                     pred.append("und")
                     score.append(0.0)

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import released
+from blockweave.llm.common import dropped, released, written
 
 BLOCK, QUERY_BLOCK, FIRST_DEPTH = 4096, 256, 32
 
 
-def threshold_search(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+def threshold_search(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, own: int, k: int, floor: int | None = None, rows: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(id, score) of the k best rows for one query, ties to the smaller id.
 
+    own: the query's own row (by `rows`, which names each; else by ids). floor: a score that k rows elsewhere
+    reach; what is below it may be left out.
+
     lists: per dimension, the rows in ascending order of that component; a positive weight reads its list
     from the end, a negative one from the start. Rows met are scored in full; the search stops when the
     bound on rows not met, the weighted sum of the components last read, is below the k-th score. A bound
@@ -26,7 +29,7 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, qu
     wide = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query)) < 2**53
     q = query.astype(np.float64) if wide else query
     seen, best, score, depth, step = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, FIRST_DEPTH
-    seen[ids == own] = True
+    seen[(ids if rows is None else rows) == own] = True
     up = query[use] > 0
     while depth < n:
         end = min(n, depth + step) if len(use) else n
@@ -44,10 +47,11 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, qu
             order = np.lexsort((ids[best], -score))[:k]
             best, score = best[order], score[order]
         depth, step = end, step * 2
-        if len(best) >= k and len(use):
+        least = max(([int(score.min())] if len(best) >= k else []) + ([] if floor is None else [floor]), default=None)
+        if least is not None and len(use):
             last = np.where(up, lists[n - end, use], lists[end - 1, use])
             bound = int((vectors[last, use] * query[use]).sum()) if not wide else float((vectors[last, use] * q[use]).sum())
-            if score.min() > bound:
+            if least > bound:
                 break
     order = np.lexsort((ids[best], -score))[:k]
     return [(int(ids[best[i]]), int(score[i])) for i in order]
@@ -56,37 +60,69 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, qu
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for every vector whose vec_id is divisible by `every`, against all others.
 
-    Vectors are dealt by a hash of vec_id into blocks of about `block`; each block of queries meets each
-    block of vectors once, in one task that runs the threshold algorithm on the block's sorted lists, and
-    only the best k a block go on. Null vectors, null vec_ids and null or non-finite components take no
-    part; a query meets vectors of its own length; with fewer than k others all are returned.
+    Vectors are dealt into blocks of about `block`, each written once with its sorted lists, a list a dimension.
+    A block of queries first meets one block, and the k-th score it finds there is a floor for all others:
+    there the threshold algorithm stops as soon as its bound falls below. Every query meets every block, as a
+    result must know of all rows: the work grows with the queries times the blocks, in tasks of one pair of
+    blocks each, and only the best k a query and block go on. Null vectors, null vec_ids and null or non-finite
+    components take no part; a query meets vectors of its own length; with fewer than k others all are
+    returned. Rows that repeat a vec_id are vectors of their own: each is a candidate for all rows but itself, and
+    as a query gets a ranking of its own.
     """
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
-    whole = whole.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).withColumn("d", F.size("x"))
+    whole = whole.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).withColumn("d", F.size("x"))
+    whole = written(whole, "vectors")
     n, nq = whole.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-nq // QUERY_BLOCK))
 
-    def dealt(df: DataFrame, parts: int, name: str) -> DataFrame:
-        key = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(name)
-        return df.groupBy("d", key).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("x")).alias(f"{name}_x"))
+    def dealt(df: DataFrame, parts: int, name: str, *more: str) -> DataFrame:
+        key = F.pmod(F.xxhash64("row"), F.lit(parts)).alias(name)
+        row = F.struct("row", "vec_id", *more, "x")
+        return df.groupBy("d", key).agg(F.collect_list(row).alias(f"{name}_rows"))
+
+    def unpacked(rows: pa.ListScalar, d: int) -> tuple[np.ndarray, ...]:
+        held = rows.values
+        return held.field("row").to_numpy(), held.field("vec_id").to_numpy(), held.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(held), d)
 
-    candidates = dealt(whole, blocks, "c")
-    queries = dealt(whole.where(F.col("vec_id") % every == 0), query_blocks, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d = batch.column("d")[i].as_py()
+                row, ids, v = unpacked(batch.column("c_rows")[i], d)
+                lists = np.argsort(v, axis=0, kind="stable").astype("<i4")
+                packed = [pa.array([a.astype("<i8").tobytes()], pa.binary()) for a in (row, ids, v)]
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), batch.column("c").slice(i, 1), *packed, pa.array([lists.tobytes()], pa.binary())], ["d", "c", "c_row", "c_ids", "c_x", "lists"])
+
+    candidates = written(dealt(whole, blocks, "c").mapInArrow(released(listed), "d int, c long, c_row binary, c_ids binary, c_x binary, lists binary"), "blocks")
+    asked = whole.where(F.col("vec_id") % every == 0)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                d = max(1, batch.column("d")[i].as_py())
-                ids, q_ids = (batch.column(c)[i].values.to_numpy() for c in ("c_ids", "q_ids"))
-                v, q = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, d) if batch.column("d")[i].as_py() else np.zeros((len(m), 0), np.int64) for c, m in (("c_x", ids), ("q_x", q_ids)))
-                lists = np.argsort(v, axis=0, kind="stable")
-                exact = v.astype(np.float64) if np.abs(v).max(initial=0) < 2**40 and float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * d < 2**53 else v
-                rows = [(int(a), b, s) for a, w in zip(q_ids, q, strict=True) for b, s in threshold_search(exact, ids, lists, w, int(a), k)]
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    pairs = candidates.join(queries, ["d", "c"]).select("d", "c_ids", "c_x", "q_ids", "q_x")
-    found = pairs.mapInArrow(released(search), "query_id long, vec_id long, score long")
-    return found.selectExpr("query_id", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank", "vec_id", "score").where(f"rank <= {k}")
+                d = batch.column("d")[i].as_py()
+                row, ids, v = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in ("c_row", "c_ids", "c_x"))
+                v, lists = v.reshape(len(ids), d), np.frombuffer(batch.column("lists")[i].as_py(), "<i4").reshape(len(ids), d)
+                q_row, q_ids, q = unpacked(batch.column("q_rows")[i], d)
+                floors = batch.column("q_rows")[i].values.field("floor").to_pylist()
+                exact = v.astype(np.float64) if np.abs(v).max(initial=0) < 2**40 and float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, d) < 2**53 else v
+                found = [(int(r), int(a), b, s) for r, a, w, f in zip(q_row, q_ids, q, floors, strict=True) for b, s in threshold_search(exact, ids, lists, w, int(r), k, f, row)]
+                cols = list(zip(*found, strict=True)) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "query_id", "vec_id", "score"])
+
+    def met(queries: DataFrame, first: bool) -> DataFrame:
+        """Queries with the one block that each block of them meets first, or with all others."""
+        own = F.pmod(F.col("q"), F.lit(blocks))
+        at = F.array(own) if first else F.array_remove(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"), own)
+        pairs = candidates.join(dealt(queries, query_blocks, "q", "floor").withColumn("c", F.explode(at)), ["d", "c"])
+        return pairs.select("d", "c_row", "c_ids", "c_x", "lists", "q_rows").mapInArrow(released(search), "row long, query_id long, vec_id long, score long")
+
+    near = written(met(asked.withColumn("floor", F.lit(None).cast("long")), True), "near")
+    place = "row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)"
+    floors = near.selectExpr("row", "score AS floor", f"{place} AS r").where(f"r = {k}").drop("r")
+    rest = met(asked.join(floors, "row", "left"), False)
+    found = near.unionByName(rest).selectExpr("query_id", f"{place} AS rank", "vec_id", "score").where(f"rank <= {k}")
+    out = written(found, "top")
+    dropped(whole, candidates, near)
+    return out

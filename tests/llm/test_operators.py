@@ -381,6 +381,11 @@ def test_language_model(spark):
     got = sorted((r.doc_id, r.lang_pred, 0 <= r.score <= 1) for r in langid.identify(docs, langs, model).collect())
     assert [g[:2] for g in got if g[0] != 6] == [(1, "aa"), (2, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "und")] and all(g[2] for g in got)
     assert langid.fit(labelled.limit(0)) == ([], None)
+    assert [langid.has_letter(t) for t in ("½ ² ① 5 _", "a", "1 é", "ʰ", "٣", "漢")] == [False, True, True, True, False, True]
+    many = spark.createDataFrame([(i, "kak oko", f"l{i:04}") for i in range(1200)], "doc_id long, text string, lang string")
+    assert len(langid.fit(many, 1200)[0]) == 1200
+    giant = spark.createDataFrame([(1, "oko " * 100_000, "aa"), (2, "kak " * 3, "aa"), (3, "lel " * 90_000, "bb")], "doc_id long, text string, lang string")
+    assert langid.fit(giant, 60, 100)[0] == ["aa", "bb"]
     assert {r.lang_pred for r in langid.identify(docs, [], None).collect()} == {"und"}
     assert langid.identify(docs.limit(0), langs, model).count() == 0
 
@@ -565,6 +570,10 @@ def test_top_k(spark, block):
         want = sorted(((i, sum(a * b for a, b in zip(valid[q], v, strict=True))) for i, v in valid.items() if i != q), key=lambda p: (-p[1], p[0]))[:10]
         assert got.pop(q) == want
     assert not got
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    rank = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(twice, every=20, block=block).collect())
+    one = 1024 * 1024
+    assert rank == sorted([(20, 1, 1, one), (20, 2, 20, 0), (20, 3, 20, 0)] + 2 * [(20, 1, 1, one), (20, 2, 20, one), (20, 3, 20, 0)])
     few = topk.top_k(df.where("vec_id < 3"), every=1).groupBy("query_id").count().collect()
     assert {r["count"] for r in few} == {2} and topk.top_k(df.limit(0)).count() == 0
 
