@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockweave.shared import shared_dir
+
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
 #: Rows of an Arrow batch, at most.
@@ -22,15 +23,6 @@ BATCH_ROWS = 1000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; set to a temporary one only where it is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="blockweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` as a table in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -253,8 +245,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
-        e = written(small, "edges")
-        dropped(least, large, low)
+        old, e = e, written(small, "edges")
+        dropped(old, least, large, low)
     return e.select(F.col("u").alias("v"), F.col("v").alias("component")).unionByName(e.select(F.col("v"), F.col("v").alias("component")).distinct())
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import components, mix, released, shingles, sliced, steps, thinned, written
+from blockweave.llm.common import components, dropped, mix, released, shingles, sliced, steps, thinned, written
 
 REGISTERS, BAND_ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND_ROWS
@@ -19,8 +19,9 @@ _VALUE_BITS = 64 - REGISTERS.bit_length() + 1
 EMPTY = np.uint16(0xFFFF)
 #: Standard deviations by which an estimate may fall short before a pair goes unverified.
 SLACK = 5.0
-#: Members of a bucket that one comparing task holds.
-BLOCK = 1024
+#: Members of a bucket that one comparing task holds of either side, and shingles of their sets (one set may have
+#: more).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 
 @lru_cache(1)
@@ -144,15 +145,37 @@ def _verify(percent: int):
     return run
 
 
+def _rivals(percent: int):
+    """Of one visit (members of one block, and `odd` ones of another, all of one bucket): those of either side that
+    by their registers may be linked with one of the other side from another component, and that share no
+    earlier band with it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        component = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        reg = np.frombuffer(b"".join(table.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        keys, n = band_keys(reg), table.column("n").to_numpy()
+        odd, member = (np.array(table.column(c).to_pylist()) for c in ("odd", "member"))
+        band, whole, keep = table.column("band")[0].as_py(), np.flatnonzero(member), np.zeros(len(n), bool)
+        for i in np.flatnonzero(odd):
+            mine = whole[component[whole] != component[i]]
+            mine = mine[(keys[mine] == keys[i]).argmax(axis=1) == band] if len(mine) else mine
+            if len(mine):
+                mine = mine[near(int(n[i]), n[mine], estimate(reg[i], reg[mine], int(n[i]), n[mine]), percent)]
+                keep[mine] = True
+                keep[i] |= len(mine) > 0
+        return table.filter(pa.array(keep))
+
+    return run
+
+
 def _forest(percent: int):
-    """Links that join different components within one bucket: its members outside the bucket's main
-    component (`odd`) against all members of one block. A pair is compared in the first band it shares, by
-    estimate and then on whole sets, and only while both are in different components."""
+    """Links that join different components, among what is left of one visit (see _rivals). A pair is compared in
+    the first band it shares, by estimate and then on whole sets, and only while both are in different
+    components."""
 
     def run(table: pa.Table) -> pa.Table:
-        c = {n: table.column(n).to_pylist() for n in ("doc_id", "component", "n", "reg", "bands", "set", "odd", "member")}
         names: dict = {}
-        root = [names.setdefault(x, i) for i, x in enumerate(c["component"])]
+        root = [names.setdefault(x, i) for i, x in enumerate(table.column("component").to_pylist())]
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -160,29 +183,50 @@ def _forest(percent: int):
                 i = root[i]
             return i
 
-        band = table.column("band")[0].as_py()
-        reg = np.stack([np.frombuffer(x, np.uint16) for x in c["reg"]])
-        keys = np.stack([np.array(x, np.int64) for x in c["bands"]])
-        n, member = np.array(c["n"]), np.array(c["member"])
-        sets = [np.frombuffer(x, np.uint64) for x in c["set"]]
+        reg = np.frombuffer(b"".join(table.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        keys, n, ids = band_keys(reg), table.column("n").to_numpy(), table.column("doc_id").to_pylist()
+        odd, member = (np.array(table.column(c).to_pylist()) for c in ("odd", "member"))
+        sets, band = table.column("set"), table.column("band")[0].as_py()
+        one = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
         out, whole = [], np.flatnonzero(member)
-        for i in np.flatnonzero(np.array(c["odd"])):
+        for i in np.flatnonzero(odd):
             mine = whole[[find(j) != find(i) for j in whole]] if len(whole) else whole
             mine = mine[(keys[mine] == keys[i]).argmax(axis=1) == band] if len(mine) else mine
             if len(mine):
-                est = estimate(reg[i], reg[mine], int(n[i]), n[mine])
+                est, x = estimate(reg[i], reg[mine], int(n[i]), n[mine]), one(i)
                 ok = near(int(n[i]), n[mine], est, percent)
                 for j in mine[ok][np.argsort(-est[ok], kind="stable")]:
                     if find(i) != find(j):
-                        both = np.count_nonzero(sets[j][np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)] == sets[i])
+                        y = one(j)
+                        both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
                         if linked(np.array([both]), int(n[i]), n[j : j + 1], percent)[0]:
-                            out.append((c["doc_id"][i], c["doc_id"][j]))
+                            out.append((ids[i], ids[j]))
                             root[find(i)] = find(j)
         return pa.table([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def repeated(sketch: DataFrame) -> bool:
+    """Whether some doc_id has texts with different sets."""
+    ids = sketch.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.xxhash64("digest"), F.lit(0)).alias("h"))
+    return not ids.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
+
+
+def _by_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates where a doc_id has different texts: each row under a number of its own, and of each component
+    the smallest doc_id in the end."""
+    rows = written(docs.where("doc_id IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("own"), "text"), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), k, percent).withColumnsRenamed({"doc_id": "row", "component_id": "c"})
+    named = written(found.join(rows.select("row", "own"), "row").select("own", "n_shingles", "c"), "named")
+    least = written(named.groupBy("c").agg(F.min("own").alias("component_id")), "least")
+    whole = named.join(least, "c").select(F.col("own").alias("doc_id"), "n_shingles", "component_id", (F.col("own") == F.col("component_id")).alias("kept"))
+    none = sketches(docs.where("doc_id IS NULL"), k).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    out = written(whole.unionByName(none), "neardup")
+    dropped(rows, named, least)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents linked by 100 * intersection >=
     percent * union of their k-word shingle sets.
@@ -197,10 +241,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     A pair of similarity 0.8 shares none of the 32 bands with a chance below 1e-7. Texts that are null, empty
     or white space have an empty set, no link and themselves as component. Fewer words than k: the whole
-    sequence is the one shingle. Rows that repeat a doc_id come out once each. Rows without a doc_id are
+    sequence is the one shingle. Rows that repeat a doc_id come out once each; where their texts differ, each row is
+    a text of its own, and its component is the smallest doc_id of those it reaches. Rows without a doc_id are
     kept, with a null component and kept = true.
     """
     sketch = written(sketches(docs, k), "sketch")
+    if repeated(sketch):
+        dropped(sketch)
+        return _by_rows(docs, k, percent)
     filled = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # Aggregates as tables: a join with them is of two plain shuffles, whose hot keys Spark can split.
     classes = written(filled.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -223,21 +271,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     found = components(links)
 
     label = F.coalesce("component", "doc_id").alias("component")
-    in_part = full.select("band", "key", "doc_id", "size").join(found.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", "size", label)
+    in_part = full.select("band", "key", "doc_id").join(found.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", label)
     parts = written(in_part, "parts")
     tally = parts.groupBy("band", "key", "component").count().groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component"))["component"].alias("main")).where("parts > 1")
-    mixed = written(parts.join(tally, ["band", "key"]).withColumn("odd", F.expr("component <> main")), "mixed")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks)
-    # Each member belongs to one block; each odd member visits every pair of its own block with another.
-    seated = mixed.withColumn("own", own).withColumn("blocks", blocks)
-    as_member = seated.withColumn("x", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("band", "key", "doc_id", "component", "x", F.col("own").alias("y"), F.lit(True).alias("member"), F.lit(False).alias("odd"))
-    as_odd = seated.where("odd").withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("band", "key", "doc_id", "component", F.col("own").alias("x"), "y", F.lit(False).alias("member"), F.lit(True).alias("odd"))
-    visits = as_member.unionByName(as_odd).groupBy("band", "key", "doc_id", "component", "x", "y").agg(F.max("member").alias("member"), F.max("odd").alias("odd"))
-    has_odd = as_odd.select("band", "key", "x").distinct()
-    visits = visits.join(has_odd, ["band", "key", "x"], "left_semi")
-    signed = sets.join(sketch.where("digest IS NOT NULL").select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
-    more = visits.join(signed, "doc_id").groupBy("band", "key", "x", "y").applyInArrow(_forest(percent), "a long, b long")
+    tally = written(tally, "tally")
+    signed = sets.select("doc_id", "n", "reg")
+    mixed = written(parts.join(tally, ["band", "key"]).withColumn("odd", F.expr("component <> main")).join(sets.select("doc_id", "n"), "doc_id"), "mixed")
+    # Blocks of about BLOCK members and BLOCK_SHINGLES shingles, of all members and of the odd ones: each member
+    # meets each block of odd ones, in a task of its block and theirs.
+    sizes = [F.greatest(F.ceil(F.count_if(c) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("long").alias(name) for c, name in ((F.lit(True), "blocks"), (F.col("odd"), "odd_blocks"))]
+    buckets_of = written(mixed.groupBy("band", "key").agg(*sizes), "blocks")
+    seated = mixed.join(buckets_of, ["band", "key"]).withColumns({"x": F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("odd_blocks")), "y": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))})
+    place = ["band", "key", "x", "y", "doc_id", "component"]
+    as_member = seated.withColumn("x", F.explode(F.expr("sequence(0L, odd_blocks - 1)"))).select(*place, F.lit(True).alias("member"), F.lit(False).alias("odd"))
+    as_odd = seated.where("odd").withColumn("y", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(*place, F.lit(False).alias("member"), F.lit(True).alias("odd"))
+    visits = as_member.unionByName(as_odd).groupBy(*place).agg(F.max("member").alias("member"), F.max("odd").alias("odd"))
+    shape = "doc_id long, band int, key long, x long, y long, component long, member boolean, odd boolean, n long, reg binary"
+    # Registers first; whole sets only go to where they may link.
+    left = visits.join(signed, "doc_id").select(*[c.split()[0] for c in shape.split(", ")])
+    left = written(left.groupBy("band", "key", "x", "y").applyInArrow(_rivals(percent), shape), "rivals")
+    more = left.join(sets.select("doc_id", "set"), "doc_id").groupBy("band", "key", "x", "y").applyInArrow(_forest(percent), "a long, b long")
     late = written(more, "late")
     # Components of the late links' own graph, whose vertices are the components found first.
     top = found.select(F.col("v"), F.col("component"))
@@ -247,4 +300,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of_class = of_class.join(joined.toDF("component", "higher"), "component", "left").select(F.col("v").alias("class_id"), F.coalesce("higher", "component").alias("component_id"))
     whole = member.join(of_class, "class_id", "left").select("doc_id", F.coalesce("component_id", "class_id").alias("component_id")).dropDuplicates(["doc_id"])
     rows = sketch.select("doc_id", "n_shingles").join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = written(rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "neardup")
+    dropped(sketch, classes, member, spread, buckets, full, pairs, sets, links, found, parts, tally, mixed, buckets_of, left, late, joined)
+    return out

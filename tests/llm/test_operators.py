@@ -113,8 +113,18 @@ def test_near_duplicates_odd_tables(spark):
     assert len(got) == 4 and {r.doc_id: r.component_id for r in got} == {None: None, 1: 1, 2: 1}
 
 
-def test_blocks_of_one_bucket(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(12)
+    x, y, z = (prose(60, rng) for _ in range(3))
+    rows = [(1, x), (1, y), (2, x + " tail"), (3, y + " tail"), (4, z), (4, None), (4, z), (5, z), (0, x + " more"), (None, y), (None, y + " b")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), 2).collect()), key=repr)
+    assert got == sorted([(1, 0, False), (1, 1, True), (2, 0, False), (3, 1, False), (4, 4, True), (4, 4, True), (4, 4, True), (5, 4, False), (0, 0, True), (None, None, True), (None, None, True)], key=repr)
+
+
+@pytest.mark.parametrize("limits", [(7, 1 << 21), (1024, 300)])
+def test_blocks_of_one_bucket(spark, monkeypatch, limits):
+    monkeypatch.setattr(neardup, "BLOCK", limits[0])
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", limits[1])
     rng, base = random.Random(3), prose(50)
     rows = []
     for i in range(60):
