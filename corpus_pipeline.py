@@ -6,9 +6,10 @@ All stages but the last return the columns of documents; each works on all that
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockweave.llm import decontaminate, neardup, packing, queries, suffixes, toxicity
-from blockweave.llm.common import table, without, written
+from blockweave.llm.common import dropped, table, without, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +19,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates stays: five words, similarity 0.8."""
-    found = neardup.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id")
-    return without(docs, written(found, "dropped"))
+    found = neardup.near_duplicates(docs, k=5, percent=80)
+    # A doc_id of different texts stays if one of them does.
+    gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
+    return without(docs, written(gone, "dropped"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, made = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs, before = written(stage(spark, docs, sf_dir), f"stage-{name}"), made
+        if before is not None:
+            dropped(before)
+        made = docs
+    return docs
