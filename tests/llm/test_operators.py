@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -250,6 +251,72 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def paraphrases(items, texts, rng):
+    """Rows (kind, item, text): items in the middle of texts, changed in one of four ways."""
+    others = [w for t in texts for w in t.split()]
+    for i, text in items:
+        w = text.split()
+        replaced = list(w)
+        for j in rng.sample(range(len(w)), len(w) // 4):
+            replaced[j] = rng.choice(others)
+        reordered = [x for k in range(0, len(w), 6) for x in rng.sample(w[k : k + 6], len(w[k : k + 6]))]
+        inserted = [y for x in w for y in ([x, rng.choice(others)] if rng.random() < 0.3 else [x])]
+        for kind, words_ in (("copy", w), ("replaced", replaced), ("reordered", reordered), ("inserted", inserted)):
+            host = rng.choice(texts).split()
+            at = rng.randrange(len(host))
+            yield kind, i, " ".join(host[:at] + words_ + host[at:])
+
+
+def brute_leaks(docs, items):
+    """Every passage of every text against every item, without a search for candidates."""
+    split = lambda t: [w for w in re.split("[\x00-/:-@\\[-`{-\x7f]+", (t or "").lower()) if w]
+    of_item = {i: split(t) for i, t in items}
+    known = {w: n for n, w in enumerate(sorted({w for t in of_item.values() for w in t}))}
+    df, total, cut = defaultdict(int), 0, {d: split(t) for d, t in docs}
+    for w in cut.values():
+        for at in range(0, len(w), 48):
+            total += 1
+            for x in {x for x in w[at : at + 48] if x in known}:
+                df[known[x]] += 1
+    idf = np.array([np.log((total + 1) / (df[n] + 1)) + 1 for n in range(len(known))])
+    terms = {i: np.array([known[w] for w in t]) for i, t in of_item.items()}
+    keys = {i: decontaminate.informative(t, idf) for i, t in terms.items()}
+    out = set()
+    for d, w in cut.items():
+        ids = [known.get(x, -1) for x in w]
+        for begin in range(0, max(1, len(ids) - 24), 24):
+            for i, t in terms.items():
+                near = [x for x in ids[max(0, begin - len(t)) : begin + 48 + len(t)] if x >= 0]
+                if len(set(near) & set(keys[i].tolist())) >= 0.4 * len(set(keys[i].tolist())) and decontaminate.verified(t, keys[i], near):
+                    out.add((d, i))
+    return out
+
+
+def test_paraphrases_and_brute_force(spark):
+    sf, rng = "/root/testdata/sf0.01", random.Random(8)
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").orderBy("item_id").collect()]
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").where("text IS NOT NULL AND n_chars < 3000").orderBy("doc_id").limit(300).collect()]
+    planted = list(paraphrases(items, [t for _, t in rows if len(t.split()) > 80], rng))
+    docs = rows + [(10_000 + n, t) for n, (_, _, t) in enumerate(planted)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), table(spark, sf, "benchmark")).collect()}
+    held = defaultdict(list)
+    for n, (kind, i, _) in enumerate(planted):
+        held[kind].append((10_000 + n, i) in got)
+    assert all(held["copy"]) and all(np.mean(v) >= 0.9 for v in held.values()), {k: np.mean(v) for k, v in held.items()}
+    want = brute_leaks(docs, items)
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_benchmark_in_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    rng = random.Random(10)
+    own = ["".join(rng.choices("klmnopqrst", k=rng.randint(3, 7))) for _ in range(300)]
+    items = [(i, " ".join(rng.choices(own, k=30))) for i in range(8)]
+    docs = [(i, prose(150)) for i in range(40)] + [(100 + i, prose(40) + " " + t + " " + prose(500)) for i, t in items] + [(None, items[0][1]), (200, prose(300_000) + items[3][1])]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame([*items, (None, items[1][1])], "item_id long, text string")).collect()}
+    assert got == {(100 + i, i) for i in range(8)} | {(200, 3)}
+
+
 def test_copies_among_words_outside_the_benchmark(spark):
     """Items of words that the corpus often has, in passages whose other words are as rare as can be: the cosine
     falls below its threshold, and with long items too."""
