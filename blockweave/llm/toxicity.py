@@ -21,6 +21,8 @@ from blockweave.llm.common import dropped, released, sliced, written
 POSITIVES, NEGATIVES = 2000, 6000
 #: Toxic texts, near copies left out, that must hold a learned insult.
 SUPPORT = 8
+#: Forms that a task holds before it gives their counts on.
+HELD = 50_000
 #: Share of its texts that are toxic, from which a form is an insult. Other forms are mild ones where a toxic text
 #: holds so many times more of them, a word, than a clean one.
 PURITY, LIFT = 0.95, 12.0
@@ -126,25 +128,39 @@ def grammar(weights: tuple[float, ...] = (1.0,) * len(OUTPUTS)) -> Machine:
 
 
 def best_path(m: Machine, symbols: tuple[str, ...]) -> tuple[float, tuple[tuple[int, str], ...]] | None:
-    """Weight and outputs, each with the place of its word, of the heaviest path that reads a whole clause."""
-    at: dict = {m.start: (0.0, ())}
+    """Weight and outputs, each with the place of its word, of the heaviest path that reads a whole clause; of equal
+    ones the first by the order of arcs."""
+    at: dict = {m.start: (0.0, None)}
     for i, x in enumerate(symbols):
         then: dict = {}
         for state, (weight, out) in at.items():
             for inp, o, w, n in m.arcs[state]:
-                if inp == x:
-                    found = (weight + w, (*out, (i, o)) if o else out)
-                    if n not in then or found > then[n]:
-                        then[n] = found
+                if inp == x and (n not in then or weight + w > then[n][0]):
+                    then[n] = (weight + w, (out, i, o) if o else out)
         at = then
-    return max((v for s, v in at.items() if s in m.final), default=None)
+    found = max((v for s, v in at.items() if s in m.final), key=lambda v: v[0], default=None)
+    if found is None:
+        return None
+    out, link = [], found[1]
+    while link:
+        link, i, o = link
+        out.append((i, o))
+    return found[0], tuple(reversed(out))
 
 
-@lru_cache(1 << 16)
-def _outputs(symbols: tuple[str, ...]) -> tuple[tuple[int, str], ...]:
+#: Clauses up to so many symbols are remembered.
+SHORT = 48
+
+
+@lru_cache(1 << 13)
+def _remembered(symbols: tuple[str, ...]) -> tuple[tuple[int, str], ...]:
     return best_path(grammar(), symbols)[1]
 
 
+def _outputs(symbols: tuple[str, ...]) -> tuple[tuple[int, str], ...]:
+    return _remembered(symbols) if len(symbols) <= SHORT else best_path(grammar(), symbols)[1]
+
+
 @dataclass(frozen=True)
 class Grammar:
     """Learned insults (words and stems), milder ones that clean texts hold too, and the features' weights."""
@@ -307,6 +323,13 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, words = Counter(), Counter()
+
+            def settled() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([words[f] for f in held], pa.int64())], ["f", "n", "w"])
+                held.clear()
+                words.clear()
+                return out
+
             for b in sliced(batches):
                 for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if keep is None or doc in keep:
@@ -314,7 +337,9 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
                             if among is None or f in among:
                                 held[f] += 1
                                 words[f] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([words[f] for f in held], pa.int64())], ["f", "n", "w"])
+                    if len(held) > HELD:
+                        yield settled()
+            yield settled()
 
         found = rows.select("doc_id", "text").mapInArrow(released(counted), "f string, n long, w long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
         found = found.where(f"n >= {SUPPORT} OR f = ''" if among is None else "true").collect()
