@@ -78,33 +78,69 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def _pack_bits(data: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, int]:
-    """The codes of all symbols, highest bit first, and the number of bits."""
+    """The codes of all symbols, highest bit first, and the number of bits. Each code is put where it begins in a
+    window of two 32-bit words; codes that begin in one word are summed."""
+    if not len(data):
+        return b"", 0
     n = lengths[data].astype(np.int64)
     ends = np.cumsum(n)
-    total = int(ends[-1]) if len(n) else 0
-    within = np.arange(total) - np.repeat(ends - n, n)
-    bits = np.repeat(codes[data], n) >> (np.repeat(n, n) - 1 - within) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes(), total
+    at, total = ends - n, int(ends[-1])
+    word = at >> 5
+    two = codes[data].astype(np.uint64) << (64 - n - (at & 31)).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    out = np.zeros(total // 32 + 2, np.uint64)
+    out[word[first]] += np.add.reduceat(two >> np.uint64(32), first)
+    out[word[first] + 1] += np.add.reduceat(two & np.uint64(0xFFFFFFFF), first)
+    return out.astype(">u4").tobytes()[: -(-total // 8)], total
+
+
+#: Bytes of a bit stream that are taken at a time, and symbols between two places that are found one by one.
+SEGMENT, STRIDE = 1 << 16, 32
 
 
 def _read_codes(data: bytes, count: int, lengths: np.ndarray) -> bytes:
-    """`count` symbols from a bit stream: each bit's following MAX_BITS bits look up a symbol and a length."""
+    """`count` symbols from a bit stream. Each bit's following MAX_BITS bits look up a symbol and where the next code
+    would begin; doubling these steps gives the place STRIDE codes on from everywhere, a short loop walks
+    along those, and the places between follow all at once."""
     codes, symbol, size = canonical_codes(lengths), np.zeros(1 << MAX_BITS, np.uint8), np.zeros(1 << MAX_BITS, np.uint8)
     for s in np.flatnonzero(lengths):
         free = MAX_BITS - int(lengths[s])
         begin = int(codes[s]) << free
         _need(begin + (1 << free) <= 1 << MAX_BITS, "code lengths")
         symbol[begin : begin + (1 << free)], size[begin : begin + (1 << free)] = s, lengths[s]
-    bits = np.concatenate((np.unpackbits(np.frombuffer(data, np.uint8)), np.zeros(MAX_BITS, np.uint8))).astype(np.int32)
-    n = len(bits) - MAX_BITS
-    ahead = sum((bits[k : k + n] << (MAX_BITS - 1 - k) for k in range(MAX_BITS)), np.zeros(n, np.int32))
-    jump, found, out, at = size[ahead].tolist(), symbol[ahead].tobytes(), bytearray(count), 0
-    for i in range(count):
-        _need(at < n and jump[at] > 0, "bit stream")
-        out[i] = found[at]
-        at += jump[at]
+    raw, n = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(2, np.uint8))).astype(np.uint32), 8 * len(data)
+    out: list[np.ndarray] = []
+    have = at = 0
+    while have < count:
+        base = at >> 3
+        part = raw[base : base + SEGMENT + 2]
+        m = 8 * (len(part) - 2)
+        bound = m if 8 * base + m == n else m - MAX_BITS
+        three, ahead = part[:-2] << 16 | part[1:-1] << 8 | part[2:], np.empty(m, np.uint16)
+        for k in range(8):
+            ahead[k::8] = three >> (24 - MAX_BITS - k) & ((1 << MAX_BITS) - 1)
+        step = np.zeros(m + MAX_BITS, np.uint8)
+        step[:bound] = size[ahead[:bound]]
+        jumps = [np.arange(m + MAX_BITS, dtype=np.int32) + step]
+        while 1 << (len(jumps) - 1) < STRIDE:
+            jumps.append(jumps[-1][jumps[-1]])
+        place, far, found = at - 8 * base, jumps[-1], []
+        for _ in range(-(-(count - have) // STRIDE)):
+            found.append(place)
+            place = far.item(place) if place < len(far) else place
+            if place == found[-1]:
+                break
+        where = np.empty((len(found), STRIDE), np.int32)
+        where[:, 0] = found
+        for k in range(len(jumps) - 2, -1, -1):
+            where[:, 1 << k :: 2 << k] = jumps[k][where[:, :: 2 << k]]
+        where = where.ravel()[: count - have]
+        k = int(np.count_nonzero(step[where]))  # a place without a code steps to itself, so those come last
+        _need(k > 0, "bit stream")
+        out.append(symbol[ahead[where[:k]]])
+        have, at = have + k, 8 * base + int(jumps[0][where[k - 1]])
     _need(at <= n, "bit stream")
-    return bytes(out)
+    return np.concatenate(out).tobytes() if out else b""
 
 
 def _header(data: bytes) -> tuple[int, int, np.ndarray, int]:
@@ -193,8 +229,9 @@ class Rans:
             while state >= limit[s]:
                 out.append(state & 255)
                 state >>= 8
-            q, r = divmod(state, freq[s])
-            state = (q << log) + r + low[s]
+            f = freq[s]
+            q = state // f
+            state = (q << log) + state - q * f + low[s]
         return struct.pack("<IIIBBH", len(x), len(out), state, log, 0, top) + norm.astype("<u2").tobytes() + bytes(reversed(out))
 
     def decode(self, data, size):
@@ -206,19 +243,33 @@ class Rans:
             return b""
         norm = np.frombuffer(data, "<u2", top, 16).astype(np.int64)
         _need(int(norm.sum()) == 1 << log and state >= RANS_LOW, "counts")
-        symbol, base = np.repeat(np.arange(top), norm).tolist(), (np.cumsum(norm) - norm).tolist()
-        freq, mask, out = norm.tolist(), (1 << log) - 1, bytearray(size)
-        for i in range(size):
-            slot = state & mask
-            s = symbol[slot]
-            out[i] = s
-            state = freq[s] * (state >> log) + slot - base[s]
-            while state < RANS_LOW:
-                _need(at < len(data), "byte stream")
-                state = state << 8 | data[at]
-                at += 1
-        _need(at == len(data), "byte stream")
-        return bytes(out)
+        symbol = np.repeat(np.arange(top), norm)
+        freq, spare = norm[symbol].tolist(), (np.arange(1 << log) - (np.cumsum(norm) - norm)[symbol]).tolist()
+        mask, slots, low = (1 << log) - 1, [], RANS_LOW
+        put, left = slots.append, iter(data[at:])
+        try:
+            for _ in range(size):
+                slot = state & mask
+                put(slot)
+                state = freq[slot] * (state >> log) + spare[slot]
+                while state < low:
+                    state = state << 8 | next(left)
+        except StopIteration:
+            raise CorruptError("byte stream") from None
+        _need(next(left, None) is None, "byte stream")
+        return symbol.astype(np.uint8)[np.array(slots)].tobytes()
+
+
+def sizes(data: bytes) -> tuple[int, int, int]:
+    """Bytes that NONE, HUFFMAN and (nearly) FSE take."""
+    if not data:
+        return 0, 10, 16
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    lengths = code_lengths(counts)
+    top, log = int(np.flatnonzero(counts)[-1]) + 1, table_log(int((counts > 0).sum()))
+    norm = normalized(counts[:top], 1 << log)
+    bits = float((counts[:top][norm > 0] * (log - np.log2(norm[norm > 0]))).sum())
+    return len(data), 10 + top - (-int((counts * lengths).sum()) // 8), 16 + 2 * top + 2 + int(bits / 8)
 
 
 def shannon(data: bytes) -> float:
@@ -228,6 +279,12 @@ def shannon(data: bytes) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
+def about(data: bytes) -> int:
+    """Bytes that the best coder takes, by the entropy."""
+    top = max(data) + 1 if data else 0
+    return min(len(data), 10 + top + int(len(data) * shannon(data) / 8)) if data else 0
+
+
 def lane_choice(entropy: float) -> int:
     return NONE if entropy > 7.5 else HUFFMAN if entropy < 4.0 else FSE
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from itertools import pairwise
 
 import numpy as np
@@ -15,6 +16,8 @@ MIN_MATCH, WINDOW = 3, 4 << 20
 #: Earlier places tried by level, and whether a longer match one byte on is preferred.
 LEVELS = {1: (1, False), 2: (4, False), 3: (8, True), 4: (16, True), 5: (32, True), 6: (64, True), 7: (128, True)}
 DEFAULT_LEVEL, OPTIMAL_DEPTH, SKIP = 2, 16, 32
+#: A match of this length is not bettered.
+ENOUGH = 1 << 10
 # Repeat offsets at the start of a stream.
 REPEATS = (1, 4, 8)
 Sequence = tuple[int, int, int]
@@ -25,60 +28,74 @@ def common(data: bytes, a: int, b: int) -> int:
     n, step, end = 0, 16, len(data)
     while b + n < end:
         k = min(step, end - b - n)
-        if data[a + n : a + n + k] == data[b + n : b + n + k]:
-            n, step = n + k, step * 2
-        elif k == 1:
-            break
-        else:
-            step = max(1, k // 2)
+        x, y = data[a + n : a + n + k], data[b + n : b + n + k]
+        if x != y:
+            differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+            return n + ((differ & -differ).bit_length() - 1 >> 3)
+        n, step = n + k, min(step * 2, 1 << 12)
     return n
 
 
-class _Chains:
-    """Earlier places of each three bytes, latest first."""
+def previous(data: bytes, k: int) -> np.ndarray:
+    """For each place the latest one before it with the same k bytes (3 or 4), or -1."""
+    x, m = np.frombuffer(data, np.uint8).astype(np.uint32), len(data) - k + 1
+    out = np.full(len(data), -1, np.int32)
+    if m > 1:
+        key = x[:m].copy()
+        for j in range(1, k):
+            key |= x[j : j + m] << np.uint32(8 * j)
+        order = np.argsort(key.astype(np.uint16), kind="stable")
+        order = order[np.argsort((key >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+        same = key[order[1:]] == key[order[:-1]]
+        out[order[1:][same]] = order[:-1][same]
+    return out
 
-    def __init__(self, data: bytes, depth: int):
-        self.data, self.depth, self.head, self.prev = data, depth, {}, [-1] * len(data)
 
-    def add(self, at: int) -> None:
-        key = self.data[at : at + MIN_MATCH]
-        if len(key) == MIN_MATCH:
-            self.prev[at], self.head[key] = self.head.get(key, -1), at
+class _Chains:
+    """Earlier places of each few bytes, latest first."""
+
+    def __init__(self, data: bytes, depth: int, least: int = MIN_MATCH):
+        before = previous(data, least)
+        self.data, self.depth, self.least, self.prev = data, depth, least, before.tolist()
+        #: Places that have an earlier one.
+        self.met = np.flatnonzero(before >= 0).tolist()
 
     def best(self, at: int) -> list[tuple[int, int]]:
         """(length, offset), each longer than those before it."""
-        out, longest, place = [], MIN_MATCH - 1, self.head.get(self.data[at : at + MIN_MATCH], -1)
+        out, longest, place, data, size = [], self.least - 1, self.prev[at], self.data, len(self.data)
         for _ in range(self.depth):
-            if place < 0 or at - place > WINDOW:
+            if place < 0 or at - place > WINDOW or at + longest >= size:
                 break
-            if at + longest < len(self.data) and self.data[place + longest] == self.data[at + longest]:
-                n = common(self.data, place, at)
+            if data[place + longest] == data[at + longest]:
+                n = common(data, place, at)
                 if n > longest:
                     longest = n
                     out.append((n, at - place))
+                    if n >= ENOUGH:
+                        break
             place = self.prev[place]
         return out
 
 
-def parse_greedy(data: bytes, level: int = 0, least: int = MIN_MATCH) -> list[Sequence]:
-    """(literals before, match length, offset): the longest match at each place, or one byte on if lazy."""
+def parse_greedy(data: bytes, level: int = 0, least: int = 4) -> list[Sequence]:
+    """(literals before, match length, offset): the longest match at each place, or one byte on if lazy. Places
+    without an earlier equal few bytes are passed over at once."""
     depth, lazy = LEVELS[min(7, level or DEFAULT_LEVEL)]
-    chains, out, at, done = _Chains(data, depth), [], 0, 0
-    while at + MIN_MATCH <= len(data):
+    chains, out, at, done, i = _Chains(data, depth, max(MIN_MATCH, min(4, least))), [], 0, 0, 0
+    met = chains.met
+    while (i := bisect_left(met, at, i)) < len(met):
+        at = met[i]
         found = chains.best(at)
-        chains.add(at)
         if not found or found[-1][0] < least:
             at += 1
             continue
         n, offset = found[-1]
-        if lazy and at + 1 + MIN_MATCH <= len(data) and n < SKIP:
+        if lazy and n < SKIP and at + 1 < len(data):
             later = chains.best(at + 1)
             if later and later[-1][0] > n + 1:
                 at += 1
                 continue
         out.append((at - done, n, offset))
-        for i in range(at + 1, min(at + n, at + 1 + 4 * SKIP)):
-            chains.add(i)
         at = done = at + n
     return out
 
@@ -88,23 +105,24 @@ def parse_optimal(data: bytes) -> list[Sequence]:
     offset and the length beyond it."""
     n = len(data)
     chains, cost, step = _Chains(data, OPTIMAL_DEPTH), [0.0] + [float("inf")] * n, [(0, 0)] * (n + 1)
-    skip = 0
+    skip, before_any = 0, chains.prev
     for at in range(n):
-        if cost[at] + 8 < cost[at + 1]:
-            cost[at + 1], step[at + 1] = cost[at] + 8, (1, 0)
-        if at >= skip:
+        here = cost[at]
+        if here + 8 < cost[at + 1]:
+            cost[at + 1], step[at + 1] = here + 8, (1, 0)
+        if at >= skip and before_any[at] >= 0:
             before = MIN_MATCH - 1
             for length, offset in chains.best(at):
-                price = cost[at] + 24 + 8 * (offset > 65535)
-                lengths = {*range(before + 1, min(length, 18) + 1), length}
-                for m in lengths:
+                price = here + 24 + 8 * (offset > 65535)
+                for m in range(before + 1, min(length, 18) + 1):
                     total = price + 8 * (m > 17)
                     if total < cost[at + m]:
                         cost[at + m], step[at + m] = total, (m, offset)
+                if length > 18 and price + 8 < cost[at + length]:
+                    cost[at + length], step[at + length] = price + 8, (length, offset)
                 before = length
             if before >= 8 * SKIP:
                 skip = at + before
-        chains.add(at)
     moves, at = [], n
     while at:
         moves.append(step[at])
@@ -315,12 +333,17 @@ class LzStreams:
     _CODERS = {E.NONE: E.Passthrough(), E.HUFFMAN: E.Huffman(), E.FSE: E.Rans()}
 
     def _best(self, data: bytes) -> tuple[int, bytes]:
-        return min(((k, c.encode(data, {})) for k, c in self._CODERS.items()), key=lambda kv: len(kv[1]))
+        """The smallest coder's id and its bytes."""
+        k = (E.NONE, E.HUFFMAN, E.FSE)[int(np.argmin(E.sizes(data)))]
+        return k, self._CODERS[k].encode(data, {})
 
-    def _split(self, literals: bytes) -> bytes:
+    @staticmethod
+    def _contexts(literals: bytes) -> list[bytes]:
         x = np.frombuffer(literals, np.uint8)
         before = np.concatenate((np.zeros(1, np.uint8), x[:-1] >> 4))[: len(x)]
-        parts = [x[before == c].tobytes() for c in range(16)]
+        return [x[before == c].tobytes() for c in range(16)]
+
+    def _split(self, parts: list[bytes]) -> bytes:
         done = [self._best(p) for p in parts]
         return self.CONTEXT.pack(*(k for k, _ in done), *map(len, parts), *(len(d) for _, d in done)) + b"".join(d for _, d in done)
 
@@ -344,7 +367,7 @@ class LzStreams:
 
     def encode(self, data, params):
         level = params.get("level", 0)
-        seqs = fused(parse_optimal(data) if level < 0 else parse_greedy(data, level), params.get("min_match") or MIN_MATCH)
+        seqs = fused(parse_optimal(data), params.get("min_match") or MIN_MATCH) if level < 0 else parse_greedy(data, level, params.get("min_match") or 4)
         literals, tail = literals_of(data, seqs)
         every = 0
         for *_, offset in seqs:
@@ -357,12 +380,12 @@ class LzStreams:
                 for column, (s, extra, bits) in zip(columns, (symbol_of(n), symbol_of(m - MIN_MATCH), offset_symbol(offset >> shift, recent, delta)), strict=True):
                     column.append(s)
                     extras.append((extra, bits))
-            coded = [self._best(bytes(c)) for c in columns]
-            tried.append((sum(len(d) for _, d in coded) + sum(b for _, b in extras) // 8, delta, coded, extras))
-        _, delta, coded, extras = min(tried, key=lambda t: t[:2])
-        first, split = self._best(literals), self._split(literals) if literals else b""
-        contexts = bool(literals) and params.get("contexts", len(split) < len(first[1]))
-        best = [(E.NONE, split) if contexts else first, *coded]
+            tried.append((sum(E.about(bytes(c)) for c in columns) + sum(b for _, b in extras) // 8, delta, columns, extras))
+        _, delta, columns, extras = min(tried, key=lambda t: t[:2])
+        parts = self._contexts(literals)
+        less = self.CONTEXT.size + sum(map(E.about, parts)) < E.about(literals)
+        contexts = bool(literals) and params.get("contexts", less)
+        best = [(E.NONE, self._split(parts)) if contexts else self._best(literals), *(self._best(bytes(c)) for c in columns)]
         body = [x for _, x in best] + [low_bits(extras)]
         flags = self.REPEATED | self.SHIFTED * (shift > 0) | self.CONTEXTS * contexts | self.DELTAS * delta
         out = self.HEADER.pack(2, flags, shift, 0, len(seqs), len(literals), tail, len(data), *(k for k, _ in best), *map(len, body)) + b"".join(body)

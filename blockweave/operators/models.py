@@ -117,46 +117,44 @@ class Fpc(_Base):
     # Fixed value: the multiplier of the format's hash.
     MULTIPLIER = 0x9E3779B97F4A7C15
 
-    def _walk(self, n: int, width: int, step):
-        """step(i, guesses) -> value of element i."""
-        size = 1 << self.LOG
-        mask, tables, slots, last = (1 << 8 * width) - 1, ([0] * size, [0] * size), [0, 0], 0
-        for i in range(n):
-            guess = tables[0][slots[0]], (tables[1][slots[1]] + last) & mask
-            v = step(i, guess)
-            gap = (v - last) & mask
-            tables[0][slots[0]], tables[1][slots[1]] = v, gap
-            slots = [((x * self.MULTIPLIER) & (2**64 - 1)) >> (64 - self.LOG) for x in (v, gap)]
-            last = v
-
-    def encode(self, block, params):
-        values, width = block.data.view(block.dtype.bits).tolist(), block.dtype.size
-        out, bits = [0] * len(values), np.zeros(len(values), np.uint8)
+    def _slots(self, x: np.ndarray) -> np.ndarray:
+        """The slot that each element finds, by the one before it."""
+        hashed = (x[:-1].astype(np.uint64) * np.uint64(self.MULTIPLIER)) >> np.uint64(64 - self.LOG)
+        return np.concatenate((np.zeros(1, np.uint16), hashed.astype(np.uint16)))[: len(x)]
 
-        def zero_bytes(x: int) -> int:
-            return width - (x.bit_length() + 7) // 8
-
-        def step(i, guess):
-            a, b = values[i] ^ guess[0], values[i] ^ guess[1]
-            second = zero_bytes(b) >= zero_bytes(a)
-            out[i], bits[i] = (b if second else a), second
-            return values[i]
+    @staticmethod
+    def _held(slots: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """What each element's slot holds: the latest element before it that found the same slot, or 0."""
+        order = np.argsort(slots, kind="stable")
+        out, same = np.zeros(len(x), x.dtype), slots[order[1:]] == slots[order[:-1]]
+        out[order[1:][same]] = x[order[:-1][same]]
+        return out
 
-        self._walk(len(values), width, step)
-        return Encoded(np.array(out, block.dtype.bits).view(block.dtype.numpy), block.dtype, bytes([self.LOG]) + np.packbits(bits, bitorder="little").tobytes())
+    def encode(self, block, params):
+        u = block.data.view(block.dtype.bits).view(f"u{block.dtype.size}")
+        before = np.concatenate((np.zeros(1, u.dtype), u[:-1]))[: len(u)]
+        gap = u - before
+        first, second = u ^ self._held(self._slots(u), u), u ^ (self._held(self._slots(gap), gap) + before)
+        used = [sum((x >> u.dtype.type(8 * k) != 0).astype(np.int8) for k in range(block.dtype.size)) for x in (first, second)]
+        takes = used[1] <= used[0]
+        out = np.where(takes, second, first)
+        return Encoded(out.view(block.dtype.bits).view(block.dtype.numpy), block.dtype, bytes([self.LOG]) + np.packbits(takes, bitorder="little").tobytes())
 
     def decode(self, enc, dtype, shape):
-        r = enc.residual.view(dtype.bits).tolist()
+        r = enc.residual.view(dtype.bits).view(f"u{dtype.size}").tolist()
         if len(enc.side) != 1 + -(-len(r) // 8) or enc.side[0] != self.LOG:
             raise CorruptError("FPC side data")
-        bits, out = np.unpackbits(np.frombuffer(enc.side, np.uint8, offset=1), bitorder="little"), [0] * len(r)
-
-        def step(i, guess):
-            out[i] = r[i] ^ guess[bits[i]]
-            return out[i]
-
-        self._walk(len(r), dtype.size, step)
-        return np.array(out, dtype.bits).view(dtype.numpy)
+        bits = np.unpackbits(np.frombuffer(enc.side, np.uint8, offset=1), bitorder="little").tolist()
+        size, mask, shift, by = 1 << self.LOG, (1 << 8 * dtype.size) - 1, 64 - self.LOG, self.MULTIPLIER
+        values, gaps, a, b, last, out, whole = [0] * size, [0] * size, 0, 0, 0, [], 2**64 - 1
+        put = out.append
+        for x, takes in zip(r, bits, strict=False):
+            v = x ^ ((gaps[b] + last) & mask if takes else values[a])
+            gap = (v - last) & mask
+            values[a], gaps[b], last = v, gap, v
+            a, b = (v * by & whole) >> shift, (gap * by & whole) >> shift
+            put(v)
+        return np.array(out, f"u{dtype.size}").view(dtype.bits).view(dtype.numpy)
 
 
 def first_seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
