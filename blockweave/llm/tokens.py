@@ -166,7 +166,9 @@ class Rollup:
         """Table, then entry beside its place, then the rename that makes it count."""
         own = uuid.uuid4().hex
         self._step("table")
-        sums.write.parquet(f"{self.path}/data-{own}")
+        # A row a key: much less than what is aggregated, so a file for 16 of its partitions.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        sums.coalesce(max(8, parts // 16)).write.parquet(f"{self.path}/data-{own}")
         self._step("entry")
         stream = self._fs.create(self._at(f"{self.path}/log/aside-{own}"), False)
         stream.write(json.dumps(entry | {"data": f"data-{own}"}).encode())
