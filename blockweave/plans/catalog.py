@@ -455,6 +455,24 @@ def rowgroup_project(spark, sf_dir):
     return found.where("event_id BETWEEN 3000 AND 5000")
 
 
+@query("SELECT event_id, value FROM events WHERE event_id > 4000 AND event_id <= 6000 AND value < 75")
+def pushed_filters(spark, sf_dir):
+    """Row groups by the query's own filters."""
+    return spark.read.format("blockstore").load(_stored(spark, sf_dir)).where("event_id > 4000 AND event_id <= 6000 AND value < 75").select("event_id", "value")
+
+
+@query(f"""WITH f AS (SELECT event_id < (SELECT count(*) FROM events) AS f, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT least({ROWS}, n - {ROWS} * g) AS rows FROM f, unnest(range((n + {ROWS} - 1) // {ROWS})) u(g))
+    SELECT rows, dtype, count(*) AS blocks FROM g, (VALUES ('I64'), ('I64'), ('I64'), ('STRING'), ('F64'), ('STRING')) v(dtype) GROUP BY ALL""")
+def read_in_order(spark, sf_dir):
+    """Records by one pass over a container, without its index: how many of each type and size."""
+    from blockweave.sources.table import install, read_sequence
+
+    install(spark)
+    path = scratch(spark)
+    read(spark, sf_dir, "events").coalesce(1).write.format("blockstore").option("rows", ROWS).mode("append").save(path)
+    return read_sequence(spark, path).groupBy("rows", "dtype").agg(F.count("*").alias("blocks"))
+
+
 @query("SELECT event_id, user_id, value * 2 AS twice FROM events")
 def widen_columns(spark, sf_dir):
     from blockweave.sources.table import widen_table

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blockweave.errors import BlockError, CorruptError, LayoutError
+from blockweave.operators.blocks import from_block
 from blockweave.sources.record import HEADER, decode_block, encode_block, read_record
 from blockweave.spec import CodecSpec
 from blockweave.types import Block, DType
@@ -150,3 +151,45 @@ def encode_stream(rows: DataFrame, key: str, value: str, dtype: DType, spec: Cod
         yield pd.DataFrame(out, columns=[key, "seq", "n", "record"])
 
     return rows.groupBy(key).applyInPandasWithState(run, schema, "held binary, seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def decode_stream(portions: DataFrame, key: str, data: str, dtype: DType, order: str | None = None, ended: str | None = None) -> DataFrame:
+    """Elements (key, block, i, v, error) from record bytes in portions of any size, of a streaming or static
+    DataFrame. What is not a whole record yet waits as state. Within a micro-batch portions are in `order`; across
+    them as they come. A key whose bytes are not records gives one row with the error, and nothing more after it;
+    so does one whose portion with a true `ended` leaves bytes over. Bytes after an end begin a new stream."""
+    kind = dtype.spark
+    schema = f"{key} {portions.schema[key].dataType.simpleString()}, block long, i long, v {kind.simpleString()}, error string"
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, blocks, corrupt = state.get if state.exists else (b"", 0, False)
+        parts = list(frames)
+        frame = pd.concat(parts) if parts else pd.DataFrame({data: []})
+        if order:
+            frame = frame.sort_values(order, kind="stable")
+        decoder, out = PushDecoder(), []
+        decoder.push(bytes(held))
+        for part, last in zip(frame[data], frame[ended] if ended else [False] * len(frame), strict=True):
+            if corrupt:
+                break
+            if part is not None:
+                decoder.push(bytes(part))
+            if last:
+                decoder.finish()
+            try:
+                while (block := decoder.next()[0]) is not None:
+                    if block.dtype is not dtype:
+                        raise CorruptError(f"a block of {block.dtype.name}")
+                    values = from_block(block).to_pylist()
+                    out += [(group[0], blocks, i, v, None) for i, v in enumerate(values)]
+                    blocks += 1
+            except BlockError as e:
+                corrupt = True
+                out.append((group[0], blocks, None, None, f"{type(e).__name__}: {e}"))
+            if last:
+                decoder, blocks = PushDecoder(), 0 if not corrupt else blocks
+        state.update((b"" if corrupt else bytes(decoder._held), blocks, corrupt))
+        frame = pd.DataFrame(out, columns=[key, "block", "i", "v", "error"], dtype=object)  # long integers beside nulls
+        yield frame.astype({"block": "Int64", "i": "Int64", **({} if dtype.is_float or dtype.is_variable else {"v": "Int64"})})
+
+    return portions.groupBy(key).applyInPandasWithState(run, schema, "held binary, blocks long, corrupt boolean", "append", GroupStateTimeout.NoTimeout)

@@ -62,14 +62,37 @@ def test_data_source(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
     e.coalesce(1).sortWithinPartitions("event_id").write.format("blockstore").option("rows", 100).mode("append").save(path)
     assert spark.read.format("blockstore").load(path).exceptAll(e).isEmpty()
-    pruned = spark.read.format("blockstore_pushdown").load(path).where("event_id < 150")
+    pruned = spark.read.format("blockstore").load(path).where("event_id < 150")
     assert pruned.count() == 150 and pruned.rdd.getNumPartitions() == 2
+    plain = spark.read.format("blockstore_plain").option("high.event_id", 149).load("file://" + path)
+    assert plain.count() == 200 and plain.rdd.getNumPartitions() == 2
     assert schema_of(path)["value"].metadata["dtype"] == "F64"
     assert inspect_table(spark, path).where("name = 'value'").count() == -(-e.count() // 100)
     e.limit(10).write.format("blockstore").mode("overwrite").save(path)
     assert spark.read.format("blockstore").load(path).count() == 10
 
 
+def test_widening_leaves_no_mixture(spark, tmp_path):
+    from blockweave.errors import ContainerIOError
+    from blockweave.sources.table import Folder, install, widen_table
+
+    install(spark)
+    path = str(tmp_path / "t")
+    df = spark.range(1000).withColumn("v", F.col("id") * 2)
+    df.repartition(3).write.format("blockstore").option("rows", 50).option("bytes", 2000).mode("append").save(path)
+    before = Folder(path).containers()
+    assert len(before) > 3 and all(len(groups) >= 1 for _, groups in before.values())
+    with pytest.raises(Exception, match="a value for every row"):
+        widen_table(spark, path, df.where("id < 990").select("id", (F.col("id") + 1).alias("w")), "id")
+    assert Folder(path).containers().keys() == before.keys() and spark.read.format("blockstore").load(path).count() == 1000
+    assert widen_table(spark, path, df.select("id", (F.col("id") + 1).alias("w")), "id") == len(before)
+    got = spark.read.format("blockstore").load(path)
+    assert got.columns == ["id", "v", "w"] and got.where("w = id + 1 AND v = 2 * id").count() == 1000
+    assert not Folder(path).containers().keys() & before.keys()
+    with pytest.raises(ContainerIOError):
+        Folder("nowhere://x/y")
+
+
 def test_numbering_has_no_gaps(spark):
     df = spark.range(1000).select((F.col("id") * 7).alias("k"))
     got = C.numbered(df, ["k"], 100, 5).select((F.col("blk") * 100 + F.col("i")).alias("n"), "k").orderBy("n").collect()
@@ -93,3 +116,33 @@ def test_stream(spark, sf, tmp_path):
     for v in values:
         left.remove(v)
     assert len(left) < 100
+
+
+def test_decoding_a_stream(spark, tmp_path):
+    from blockweave.sources.record import encode_block
+    from blockweave.streaming.pushpull import decode_stream
+    from blockweave.types import Block
+
+    rng = np.random.default_rng(5)
+    values = {k: rng.integers(0, 1000, 400) for k in range(4)}
+    values[0][3] = 2**62 + 1
+    records = {k: [encode_block(Block(v[a : a + 90].astype(np.int64), DType.I64), CodecSpec(M.DELTA_1D)) for a in range(0, 400, 90)] for k, v in values.items()}
+    records[2][1] = b"\xff" * 8 + records[2][1][8:]
+    whole = {k: b"".join(r) for k, r in records.items()}
+    whole[3] = whole[3][:-5]
+    rows = [(k, n, d[a : a + 131], a + 131 >= len(d)) for k, d in whole.items() for n, a in enumerate(range(0, len(d), 131))]
+    src, most = str(tmp_path / "in"), max(r[1] for r in rows)
+    for lo in range(0, most + 1, 11):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < lo + 11], "k int, n long, data binary, last boolean").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("k int, n long, data binary, last boolean").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
+    q = decode_stream(stream, "k", "data", DType.I64, "n", "last").writeStream.format("memory").queryName("decoded").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {k: [] for k in whole}
+    for r in spark.table("decoded").orderBy("k", "block", F.col("i").asc_nulls_last()).collect():
+        got[r.k].append((r.v, r.error))
+    for k in (0, 1):
+        assert [v for v, _ in got[k]] == values[k].tolist() and all(e is None for _, e in got[k])
+    for k in (2, 3):
+        ok = [v for v, e in got[k] if e is None]
+        assert ok == values[k][: len(ok)].tolist() and [e is not None for _, e in got[k]] == [False] * len(ok) + [True]
+    assert len(got[3]) == 361 and len(got[2]) == 91
