@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockweave import registry
-from blockweave.errors import BlockError, DTypeError
-from blockweave.sources.record import decode_block, encode_block, read_record
+from blockweave.errors import OK, BlockError, DTypeError, message
+from blockweave.sources.record import decode_block, decode_dictionary, encode_block, peek, read_record
 from blockweave.spec import CodecSpec
 from blockweave.types import Block, DType, Layout, dtype_of
 
@@ -134,3 +134,60 @@ def from_bit_pattern(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), v], [*names, "v"])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in names), T.StructField("v", T.DoubleType())]))
+
+
+def checked(blocks: DataFrame, payload: bool = True) -> DataFrame:
+    """blk, code and message of each record: the status that reading it (and, with `payload`, decoding it) ends
+    with; a bad record is a row like any other."""
+    plugins = registry.plugins()
+
+    def run(batches):
+        registry.adopt(plugins)
+        for batch in batches:
+            codes, said = [], []
+            for record in batch.column("record").to_pylist():
+                try:
+                    decode_block(record) if payload else read_record(record)
+                    codes.append(OK)
+                    said.append(message(OK))
+                except BlockError as e:
+                    codes.append(e.code)
+                    said.append(f"{message(e.code)}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("blk"), pa.array(codes, pa.int32()), pa.array(said, pa.string())], ["blk", "code", "message"])
+
+    return blocks.select("blk", F.coalesce("record", F.lit(b"")).alias("record")).mapInArrow(run, "blk long, code int, message string")
+
+
+def peeked(blocks: DataFrame) -> DataFrame:
+    """blk, dtype, layout, shape and bytes of the elements (null for strings), from the headers alone."""
+
+    def run(batches):
+        for batch in batches:
+            found = [peek(x) for x in batch.column("record").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("blk"), pa.array([f["dtype"].name for f in found], pa.string()), pa.array([f["layout"].name for f in found], pa.string()), pa.array([list(f["shape"]) for f in found], pa.list_(pa.int64())), pa.array([f["bytes"] for f in found], pa.int64())], ["blk", "dtype", "layout", "shape", "bytes"])
+
+    return blocks.select("blk", "record").mapInArrow(run, "blk long, dtype string, layout string, shape array<long>, bytes long")
+
+
+def dictionaries(blocks: DataFrame) -> DataFrame:
+    """blk, code and v (bytes) of the dictionaries of string blocks, their elements not decoded."""
+
+    def run(batches):
+        for batch in batches:
+            for blk, record in zip(batch.column("blk").to_pylist(), batch.column("record").to_pylist(), strict=True):
+                words, _ = decode_dictionary(record)
+                yield pa.RecordBatch.from_arrays([pa.array([blk] * len(words), pa.int64()), pa.array(range(len(words)), pa.int64()), pa.array(words, pa.binary())], ["blk", "code", "v"])
+
+    return blocks.select("blk", "record").mapInArrow(run, "blk long, code long, v binary")
+
+
+def dictionary_indices(blocks: DataFrame) -> DataFrame:
+    """blk, i and code of string blocks: to be joined with what a predicate leaves of dictionaries()."""
+
+    def run(batches):
+        for batch in batches:
+            for blk, record in zip(batch.column("blk").to_pylist(), batch.column("record").to_pylist(), strict=True):
+                _, codes = decode_dictionary(record)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), blk)), pa.array(np.arange(len(codes))), pa.array(codes.astype(np.int64))], ["blk", "i", "code"])
+
+    return blocks.select("blk", "record").mapInArrow(run, "blk long, i long, code long")

@@ -426,6 +426,47 @@ def rt_plugin(spark, sf_dir):
     return B.decode(B.encode(events(spark, sf_dir), CodecSpec(M.DELTA_1D, (R.ZIGZAG,), (registry.FIRST,))), DType.I64)
 
 
+@query(_PLAIN.format("user_id"))
+def rt_plugin_model(spark, sf_dir):
+    from blockweave.plans.samples import Negated
+
+    registry.plugins()["model"].get(registry.FIRST) or registry.register("model", registry.FIRST, Negated())
+    return B.decode(B.encode(events(spark, sf_dir), CodecSpec(registry.FIRST, (R.BYTE_SHUFFLE,), (E.LZ,))), DType.I64)
+
+
+@query(_PLAIN.format("user_id"))
+def rt_plugin_transform(spark, sf_dir):
+    from blockweave.plans.samples import Rotated
+
+    registry.plugins()["transform"].get(registry.FIRST) or registry.register("transform", registry.FIRST, Rotated())
+    return B.decode(B.encode(events(spark, sf_dir), CodecSpec(M.DELTA_1D, (R.ZIGZAG, registry.FIRST), (E.HUFFMAN,))), DType.I64)
+
+
+@query(f"WITH {EV}, d AS (SELECT DISTINCT blk FROM ev) SELECT blk, CASE blk % 4 WHEN 1 THEN 8 WHEN 2 THEN 9 WHEN 3 THEN 8 ELSE 0 END AS code FROM d")
+def record_check(spark, sf_dir):
+    """Status of records, some of which were cut short, given another version or another magic number."""
+    coded = B.encode(events(spark, sf_dir), CodecSpec(M.DELTA_1D, (R.ZIGZAG,), (E.LZ,)))
+    short, version, magic = F.expr("substring(record, 1, length(record) - 9)"), F.expr("concat(substring(record, 1, 4), X'0700', substring(record, 7))"), F.expr("concat(X'00', substring(record, 2))")
+    kind = F.pmod("blk", F.lit(4))
+    record = F.when(kind == 1, short).when(kind == 2, version).when(kind == 3, magic).otherwise(F.col("record"))
+    return B.checked(coded.select("blk", record.alias("record"))).select("blk", "code")
+
+
+@query(f"WITH {EV} SELECT blk, 'F64' AS dtype, 'VECTOR_1D' AS layout, count(*) AS elements, 8 * count(*) AS bytes FROM ev GROUP BY blk")
+def decode_peek(spark, sf_dir):
+    """What records hold, from their headers."""
+    found = B.peeked(B.encode(events(spark, sf_dir, "value"), CodecSpec(M.DELTA_1D, (R.BYTE_SHUFFLE,), (E.LZ,))))
+    return found.select("blk", "dtype", "layout", F.col("shape")[0].alias("elements"), "bytes")
+
+
+@query(f"WITH {EV} SELECT blk, i, event_type AS v FROM ev WHERE event_type LIKE '%e%'")
+def dict_block_filter(spark, sf_dir):
+    """The dictionaries of records are filtered, and only then joined with their indices."""
+    coded = B.encode(events(spark, sf_dir, "event_type"), CodecSpec(M.DICT_1D, (R.BYTE_SHUFFLE,), (E.LZ,)))
+    words = B.dictionaries(coded).withColumn("v", F.col("v").cast("string")).where("v LIKE '%e%'")
+    return B.dictionary_indices(coded).join(words, ["blk", "code"]).select("blk", "i", "v")
+
+
 @query(_PLAIN.format("user_id"))
 def rt_pushpull(spark, sf_dir):
     """Each block's bytes through a push encoder and decoder, in odd portions."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from blockweave.operators.models import DELTA_1D
-from blockweave.operators.transforms import ZIGZAG
+from blockweave.operators.models import DELTA_1D, Encoded, Raw
+from blockweave.operators.transforms import ZIGZAG, Complement
 from blockweave.spec import CodecSpec
 from blockweave.streaming.pushpull import PushDecoder, PushEncoder
-from blockweave.types import DType
+from blockweave.types import Block, DType
 
 
 class XorCoder:
@@ -25,6 +26,26 @@ class XorCoder:
         return data.translate(self.table)
 
 
+class Negated(Raw):
+    """A model that keeps every element with all bits flipped; an example of a plugin."""
+
+    def encode(self, block: Block, params: dict) -> Encoded:
+        return Encoded(~block.data.view(block.dtype.bits).view(block.dtype.numpy), block.dtype)
+
+    def decode(self, enc: Encoded, dtype: DType, shape: tuple[int, ...]) -> np.ndarray:
+        return ~enc.residual
+
+
+class Rotated(Complement):
+    """A transform that moves bytes on by one; an example of a plugin."""
+
+    def encode(self, x: np.ndarray, dtype: DType, params: dict) -> np.ndarray:
+        return np.roll(x.view(np.uint8), 1)
+
+    def decode(self, x: np.ndarray, dtype: DType, params: dict) -> np.ndarray:
+        return np.roll(x.view(np.uint8), -1)
+
+
 def through_streams(df: DataFrame, target: int = 100, portion: int = 777) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
