@@ -174,8 +174,8 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     its directory; of several in one directory the smallest path does. A file with a matching line has that
     header (`header`, its best line; adjacent lines as one where no line matches); a licence file has its own
     (`file`); others inherit from the nearest ancestor directory that has a licence file (`inherited`,
-    from_dir), or have none (`none`). Null and empty texts only inherit; a null path has no directory; rows that
-    repeat a doc_id share their finding. Nearest ancestors are resolved once a directory, not once a file. Short
+    from_dir), or have none (`none`). Null and empty texts only inherit, and so do rows without a doc_id; a null path
+    has no directory; rows that repeat a doc_id share their finding. Nearest ancestors are resolved once a directory, not once a file. Short
     headers (see SHORT) count in files without another match. Texts that may match are written once.
     """
     vocabulary = sorted({w for t in templates.values() for w in _words(t)})

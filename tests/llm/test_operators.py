@@ -558,6 +558,14 @@ def test_licenses(spark):
     assert licenses.scan(df).count() == 10 and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_of_odd_rows(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [(None, "a/LICENSE", mit), (None, "b/x", None), (1, "b/LICENSE", mit), (2, "c/long.c", prose(400_000) + "\n" + mit + "\n" + prose(10)), (3, "a/y", ""), (1, "b/LICENSE", mit)]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, path string, text string, own string, cosine double")
+    got = sorted(((r.doc_id, r.path, r.license, r.origin) for r in licenses.scan(df).collect()), key=repr)
+    assert set(got) == {(None, "a/LICENSE", None, "none"), (None, "b/x", "MIT", "inherited"), (1, "b/LICENSE", "MIT", "file"), (2, "c/long.c", "MIT", "header"), (3, "a/y", None, "none")}
+
+
 @pytest.mark.parametrize("n", [500, 40_000])
 def test_license_headers_at_two_sizes(spark, n):
     headers = [*licenses.TEMPLATES.items(), ("Proprietary", "All rights reserved.")] * 4
