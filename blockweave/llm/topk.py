@@ -118,11 +118,12 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
         pairs = candidates.join(dealt(queries, query_blocks, "q", "floor").withColumn("c", F.explode(at)), ["d", "c"])
         return pairs.select("d", "c_row", "c_ids", "c_x", "lists", "q_rows").mapInArrow(released(search), "row long, query_id long, vec_id long, score long")
 
-    near = written(met(asked.withColumn("floor", F.lit(None).cast("long")), True), "near")
+    found = near = written(met(asked.withColumn("floor", F.lit(None).cast("long")), True), "near")
     place = "row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)"
-    floors = near.selectExpr("row", "score AS floor", f"{place} AS r").where(f"r = {k}").drop("r")
-    rest = met(asked.join(floors, "row", "left"), False)
-    found = near.unionByName(rest).selectExpr("query_id", f"{place} AS rank", "vec_id", "score").where(f"rank <= {k}")
+    if blocks > 1:
+        floors = near.selectExpr("row", "score AS floor", f"{place} AS r").where(f"r = {k}").drop("r")
+        found = near.unionByName(met(asked.join(floors, "row", "left"), False))
+    found = found.selectExpr("query_id", f"{place} AS rank", "vec_id", "score").where(f"rank <= {k}")
     out = written(found, "top")
     dropped(whole, candidates, near)
     return out
