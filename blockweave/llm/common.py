@@ -77,6 +77,14 @@ def _bit_table(docs: DataFrame, ids: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(table)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, or a longer one that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`docs`, all columns, in two: rows whose doc_id may be in `ids`, by a bit table of fixed size made from
     them, and rows whose doc_id is null or certainly not there, which need no join with `ids` and so no
@@ -92,7 +100,7 @@ def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
                 met = (at >= 0) & (bits.value[(u >> np.uint64(6)).astype(int)] >> (u & np.uint64(63)) & np.uint64(1)).astype(bool)
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(met == wanted))
 
-        return docs.select("*", slot.alias("__blockweave_slot")).mapInArrow(released(run), docs.schema)
+        return docs.select("*", slot.alias(unused(docs.columns, "__slot"))).mapInArrow(released(run), docs.schema)
 
     return side(True), side(False)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, released, sliced, steps, thinned, written
+from blockweave.llm.common import dropped, mix, parted, powers, prefix_hashes, released, sliced, steps, thinned, unused, written
 
 LENGTH, SEED = 100, 24
 #: Bytes of one numpy step within a long text.
@@ -360,8 +360,9 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 new["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
-    found = spans.withColumnsRenamed({"found": "__blockweave_found", "twin": "__blockweave_twin"})
-    return some.withColumn("__blockweave_twin", own).join(found, ["doc_id", "__blockweave_twin"], "left").select(*names, "__blockweave_found").mapInArrow(released(run), docs.schema).unionByName(rest)
+    runs_of, twin_of = unused(names, "__found"), unused(names, "__twin")
+    found = spans.withColumnsRenamed({"found": runs_of, "twin": twin_of})
+    return some.withColumn(twin_of, own).join(found, ["doc_id", twin_of], "left").select(*names, runs_of).mapInArrow(released(run), docs.schema).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockweave.llm import decontaminate, langid, licenses, neardup, packing, queries, sharding, suffixes, tokens, topk, toxicity
-from blockweave.llm.common import STEP_BYTES, components, shingles, table, words
+from blockweave.llm.common import STEP_BYTES, components, shingles, table, without, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, slot string, component_id int, w double"
 RNG = random.Random(11)
@@ -223,6 +223,18 @@ def test_suffix_sort():
         assert prefix[i] == (common if g == h else -1)
 
 
+def test_columns_named_like_the_operators_own(spark):
+    line, names = prose(60), ["__slot", "__FOUND", "__twin", "__slot_", "seed", "h"]
+    docs = frame(spark, [(1, line), (2, "x " + line), (3, None)]).withColumns({n: F.lit("own") for n in names})
+    cut = suffixes.cut_texts(docs)
+    left = without(docs, docs.where("doc_id = 2").select("doc_id"))
+    for df, ids in ((cut, [1, 2, 3]), (left, [1, 3])):
+        assert df.columns == docs.columns
+        rows = sorted(df.collect(), key=lambda r: r.doc_id)
+        assert [r.doc_id for r in rows] == ids and all(r[n] == "own" for r in rows for n in names)
+    assert {r.doc_id: r.text for r in cut.collect()}[2] == "x "
+
+
 def test_cut_texts_stay_valid(spark):
     line = "".join(chr(0x100 + i) for i in range(80))
     rows = [(1, "a" + line), (2, "b" + line + "ö"), (3, None), (None, line)]
@@ -624,6 +636,7 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), 256).count() == 0
 
 
+
 def test_fullest_is_optimal():
     rng = np.random.default_rng(3)
     for _ in range(60):
