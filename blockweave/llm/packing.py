@@ -73,10 +73,11 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = VOCABULARY) -> Dat
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only the histogram of lengths (`size` rows at most) reaches the driver, and the plan made from it goes
-    back; pieces are numbered within their length in salted groups, so that a hot length is spread. Null or
+    back; pieces are numbered within their length in salted groups, dealt by the row and not by its id, so that a
+    hot length, id or text is spread. Null or
     empty texts are one piece of the end id; an empty table gives none; repeated doc_ids keep all rows.
     """
-    pieces = written(token_pieces(docs, size, vocabulary), "pieces")
+    pieces = written(token_pieces(docs, size, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(size + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
@@ -85,9 +86,9 @@ def pack(docs: DataFrame, size: int = 2048, vocabulary: str = VOCABULARY) -> Dat
     segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
     keys = segments[:, 0] << 40 | segments[:, 1]
 
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.get(salts, F.col("length").cast("int"))))
     base = salted.groupBy("length", "salt").count().selectExpr("length", "salt", "coalesce(sum(count) OVER (PARTITION BY length ORDER BY salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
-    ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32, start) - 1 AS r").join(base, ["length", "salt"])
+    ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY length, salt ORDER BY row) - 1 AS r").join(base, ["length", "salt"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -636,6 +636,17 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), 256).count() == 0
 
 
+def test_packing_of_rows_that_share_an_id(spark, monkeypatch):
+    """Numbering groups stay small where one id, or none, holds most rows."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 16)
+    rows = packing.pack(frame(spark, [(None, "same text")] * 300 + [(7, "same text")] * 300), 256).collect()
+    by_bin = defaultdict(list)
+    for r in rows:
+        by_bin[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 600 and len({(r.sequence_id, r.offset) for r in rows}) == 600
+    assert all(sorted(found)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(sorted(found))) for found in by_bin.values())
+    assert len(by_bin) <= -(-sum(r.length for r in rows) // 256) + 1
+
 
 def test_fullest_is_optimal():
     rng = np.random.default_rng(3)
