@@ -687,6 +687,43 @@ def test_top_k(spark, block):
     assert {r["count"] for r in few} == {2} and topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_copies_no_block(spark, monkeypatch):
+    """Many queries on many blocks: a block's vectors and lists go through no join, whatever the queries."""
+    plans, keep = [], topk.written
+
+    def written(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, tag)
+
+    monkeypatch.setattr(topk, "written", written)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(700, 5))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, every=2, block=100).collect()}
+    assert not any("Join" in p or "Explode" in p or "explode" in p for p in plans)
+    monkeypatch.setattr(topk, "ROUND_SIZE", 500)
+    assert got == {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, every=2, block=100).collect()}
+    x = np.floor(1024 * v).astype(np.int64)
+    for q in range(0, 700, 2):
+        s = x @ x[q]
+        order = [int(i) for i in np.lexsort((np.arange(700), -s)) if i != q][:10]
+        assert [got.pop((q, r + 1)) for r in range(10)] == [(i, int(s[i])) for i in order]
+    assert not got
+
+
+def test_threshold_searches_of_large_components():
+    """Scores beyond 2**53 are integers too; with and without what other rows gave."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(2**29), 2**29, (300, 3))
+    q, ids = v[:7], np.arange(300)
+    want = [[int(i) for i in np.lexsort((ids, -(v @ w))) if i != j][:4] for j, w in enumerate(q)]
+    best = topk.nothing()
+    for part in (slice(0, 120), slice(120, 300)):
+        own = np.where(np.arange(7) < 300 if part.start == 0 else False, np.arange(7), -1)
+        best = topk.threshold_searches(v[part], ids[part], np.argsort(v[part], axis=0, kind="stable"), q, own, 4, best)
+    assert best[1].reshape(7, 4).tolist() == want and best[2].tolist() == [int(v[i] @ q[j]) for j in range(7) for i in want[j]]
+
+
 def test_threshold_search_stops_early():
     rng = np.random.default_rng(8)
     v = rng.integers(-5, 6, (5000, 3))
