@@ -14,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockweave.llm.common import dropped, mix, released, sliced, steps, words, written
+from blockweave.llm.common import dropped, released, sliced, steps, words, written
 
 #: Words of a passage; passages of the search start every half passage.
 PASSAGE = 48
 STEP = PASSAGE // 2
-#: Rank of the latent space, dimensions beyond it while it is sought, power iterations, and passages of the corpus that
-#: it is fitted on at most (those of the smallest hashes; every passage is searched).
-RANK, OVERSAMPLE, ROUNDS, SAMPLE, SEED = 64, 16, 2, 1 << 16, 11
+#: Rank of the latent space, dimensions beyond it while it is sought, and power iterations.
+RANK, OVERSAMPLE, ROUNDS, SEED = 64, 16, 2, 11
+#: The most frequent terms, whose products with passages are dense, and passages of one such product.
+COMMON, ROWS = 512, 2048
 #: Cosine in the latent space from which a passage and a piece of an item are a candidate.
 COSINE = 0.6
 #: Shares of an item's informative words, the rarer half of them, that its longest common subsequence with a passage's
@@ -188,15 +189,20 @@ def inverse_frequencies(found: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     return np.log((total[0] + 1) / (total[1:] + 1)) + 1, int(total[0])
 
 
+def _weighed(row: np.ndarray, t: np.ndarray, idf: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, terms and weights of a sparse matrix of rows of norm 1, in order, a term weighing its count times its idf."""
+    pair, count = np.unique(row * len(idf) + t, return_counts=True)
+    row, t = pair // len(idf), pair % len(idf)
+    v = count * idf[t]
+    v /= np.sqrt(np.bincount(row, v**2, rows))[row]
+    return row, t, v
+
+
 def _rows(sets: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lists of terms as a sparse matrix of rows of norm 1: row bounds, terms and weights, a term weighing its count
-    times its idf. Empty lists are left out."""
+    """Lists of terms as a sparse matrix: row bounds, terms and weights. Empty lists are left out."""
     sets = [x for x in sets if len(x)]
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    pair, count = np.unique(row * len(idf) + np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
-    row, t = pair // len(idf), pair % len(idf)
-    v = count * idf[t]
-    v /= np.sqrt(np.bincount(row, v**2, len(sets)))[row]
+    row, t, v = _weighed(row, np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64), idf, len(sets))
     return np.searchsorted(row, np.arange(len(sets) + 1)), t, v
 
 
@@ -230,61 +236,82 @@ def summed(parts: DataFrame, width: int, rows: int) -> np.ndarray:
     return out[:rows]
 
 
-def sampled(found: DataFrame, share: float) -> DataFrame:
-    """The terms of about this share of all passages, one row each, chosen by a hash of doc_id and place."""
-    most = int(share * 2**63)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            n_words, of, place, term = _unpacked(batch)
-            ids = batch.column("doc_id").fill_null(-1).to_numpy().astype(np.int64)
-            low = (mix(mix(ids[of].view(np.uint64)) + (place // PASSAGE).astype(np.uint64)) >> np.uint64(1)).astype(np.int64) <= most
-            key = np.flatnonzero(low)
-            turn = np.flatnonzero(np.concatenate(([True], (of[key][1:] != of[key][:-1]) | (place[key][1:] // PASSAGE != place[key][:-1] // PASSAGE)))) if len(key) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(term[key], turn[1:])] if len(key) else [], pa.binary())], ["term"])
-
-    return found.mapInArrow(released(run), "term binary")
-
-
-def latent_basis(found: DataFrame, share: float, own: tuple, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """The leading right singular vectors (terms x rank) and singular values of a TF-IDF matrix of passages.
+class Products:
+    """Adds up A'(A x) for rows of A that come in portions: frequent terms as dense columns, the others as they are."""
+
+    def __init__(self, dense: np.ndarray, idf: np.ndarray):
+        self.dense, self.common = dense, np.argsort(idf, kind="stable")[:COMMON]
+        self.slot = np.full(len(idf), -1)
+        self.slot[self.common] = np.arange(len(self.common))
+        self.total, self.often = np.zeros(dense.shape), np.zeros((len(self.common), dense.shape[1]))
+
+    def add(self, row: np.ndarray, t: np.ndarray, v: np.ndarray, rows: int) -> None:
+        v = v.astype(np.float32)
+        bounds = np.searchsorted(row, np.arange(0, rows + ROWS, ROWS))
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if a < b:
+                self._add(row[a:b] - i * ROWS, t[a:b], v[a:b], min(ROWS, rows - i * ROWS))
+
+    def _add(self, row: np.ndarray, t: np.ndarray, v: np.ndarray, rows: int) -> None:
+        slot = self.slot[t]
+        often = slot >= 0
+        held = np.zeros((rows, len(self.common)), np.float32)
+        held[row[often], slot[often]] = v[often]
+        z = held @ self.dense[self.common]
+        row, t, v = row[~often], t[~often], v[~often, None]
+        if len(row):
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            z[row[start]] += np.add.reduceat(v * self.dense[t], start, axis=0)
+            put = np.argsort(t, kind="stable")
+            start = np.flatnonzero(np.append(True, np.diff(t[put]) > 0))
+            self.total[t[put][start]] += np.add.reduceat(v[put] * z[row[put]], start, axis=0)
+        self.often += held.T @ z
+
+    def result(self) -> np.ndarray:
+        out = self.total.copy()
+        out[self.common] += self.often
+        return out
+
+
+def latent_basis(found: DataFrame, own: tuple, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors (terms x rank) and singular values of the TF-IDF matrix of all passages.
 
     Randomised SVD: a random basis is multiplied by A'A, whose products with the passages all tasks add up, and
-    orthonormalised, ROUNDS times and once more; the small Gram matrix of A in that basis is then summed likewise
-    and its eigenvectors turn the basis. A has the sample of the corpus's passages, and the pieces of the
+    orthonormalised, ROUNDS times; from one more product Y of the basis B the vectors follow by Nystroem's
+    formula, A'A being about Y (B'Y)^-1 Y'. A has every passage of the corpus, and the pieces of the
     benchmark's items (`own`), weighing as much in all as the corpus does, as what is rare in the corpus but the
     benchmark's must have its place in the space. The rank follows neither the items nor the corpus.
     """
     spark, n, width = found.sparkSession, len(idf), min(len(idf), rank + OVERSAMPLE)
-    sample = written(sampled(found, share), "sample")
 
-    def total(dense: np.ndarray, gram: bool) -> np.ndarray:
+    def total(dense: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((dense.astype(np.float32), idf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             basis, weights = shared.value
-            out = np.zeros((basis.shape[1] if gram else len(weights), basis.shape[1]))
-            for batch in sliced(batches, 2048):
-                m = _rows([np.frombuffer(x, np.int32) for x in batch.column("term").to_pylist()], weights)
-                z = _times(m, basis)
-                out += z.T @ z if gram else _transposed_times(m, z, len(weights))
-            own_part = zlib.crc32(uuid.uuid4().bytes) & 0x7FFFFFFF
+            products = Products(basis, weights)
+            for batch in sliced(batches):
+                n_words, of, place, term = _unpacked(batch)
+                base = np.concatenate(([0], np.cumsum(-(-n_words // PASSAGE))))
+                products.add(*_weighed(base[of] + place // PASSAGE, term, weights, int(base[-1])), int(base[-1]))
+            out, own_part = products.result(), zlib.crc32(uuid.uuid4().bytes) & 0x7FFFFFFF
             chunks = [(i // CHUNK, out[i : i + CHUNK]) for i in range(0, len(out), CHUNK) if out[i : i + CHUNK].any()]
             data = [np.concatenate((c, np.zeros((CHUNK - len(c), c.shape[1])))).astype("<f4").tobytes() for _, c in chunks]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks], pa.int64()), pa.array([own_part] * len(chunks), pa.int32()), pa.array(data, pa.binary())], ["chunk", "part", "data"])
 
-        return summed(sample.mapInArrow(released(run), "chunk long, part int, data binary"), dense.shape[1], dense.shape[1] if gram else n)
+        return summed(found.mapInArrow(released(run), "chunk long, part int, data binary"), dense.shape[1], n)
 
-    basis, scale = np.linalg.qr(np.random.default_rng(SEED).normal(size=(n, width)))[0], 1.0
-    for _ in range(ROUNDS + 1):
-        y, z = total(basis, False), _transposed_times(own, _times(own, basis), n)
-        scale = max(1.0, np.linalg.norm(y) / max(np.linalg.norm(z), 1e-9))
-        basis = np.linalg.qr(y + scale * z)[0]
-    z = _times(own, basis)
-    values, turn = np.linalg.eigh(total(basis, True) + scale * (z.T @ z))
-    order = np.argsort(-values)[:rank]
-    dropped(sample)
-    return basis @ turn[:, order], np.sqrt(np.maximum(values[order], 0))
+    basis = np.linalg.qr(np.random.default_rng(SEED).normal(size=(n, width)))[0]
+    for i in range(ROUNDS + 1):
+        y, z = total(basis), _transposed_times(own, _times(own, basis), n)
+        y += max(1.0, np.linalg.norm(y) / max(np.linalg.norm(z), 1e-9)) * z
+        if i < ROUNDS:
+            basis = np.linalg.qr(y)[0]
+    core = basis.T @ y
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    held = values > 1e-6 * max(values.max(initial=0), 1e-9)
+    vectors, values, _ = np.linalg.svd(y @ turn[:, held] / np.sqrt(values[held]), full_matrices=False)
+    return vectors[:, :rank], values[:rank]
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -318,7 +345,7 @@ def verified(item: np.ndarray, key: np.ndarray, near: list[int]) -> tuple[int, f
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs, share, answer_share: each document with each benchmark item it holds.
 
-    All words of all texts are read. A passage is a candidate for an item if its cosine with a piece of the item in
+    All words of all texts are read, and the latent space is fitted on all of their passages. A passage is a candidate for an item if its cosine with a piece of the item in
     the latent space reaches COSINE and it holds the share COVERED of that piece's informative words. It is then
     compared word by word with the item: see `verified`, for the passage's surroundings as far as the item is
     long. The benchmark's words, the basis (RANK numbers a word) and the pieces' directions go to all tasks, of
@@ -339,13 +366,13 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not items.ids:
         return spark.createDataFrame([], _SCHEMA)
     found = written(hits(docs.where("doc_id IS NOT NULL"), items.vocabulary), "hits")
-    idf, total = inverse_frequencies(found, len(items.vocabulary))
+    idf, _ = inverse_frequencies(found, len(items.vocabulary))
     keys = [informative(t, idf) for t in items.terms]
     cut, item, sets = pieces(items.terms, keys)
     kept = [i for i, x in enumerate(sets) if len(x)]
     cut, item, sets = [cut[i] for i in kept], item[kept], [sets[i] for i in kept]
     own = _rows(cut, idf)
-    basis, _ = latent_basis(found, min(1.0, SAMPLE / max(1, total)), own, idf)
+    basis, _ = latent_basis(found, own, idf)
     directions = _times(own, basis)
     directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-9)
     keyed = np.zeros(len(idf), bool)

@@ -343,6 +343,41 @@ def test_copies_among_words_outside_the_benchmark(spark):
     assert {x for x in got if x[0] < 100} == {(i, i) for i in range(6)}  # others hold most of a short item by chance
 
 
+def test_latent_space_of_all_passages(spark):
+    """Every passage counts in the space, also beyond the 65,536 of an earlier sample: where the rank is that of the
+    matrix, the squares of the singular values add up to the passages (rows of norm 1) and are those of the matrix."""
+    n, names = 150_000, sorted(f"w{i}" for i in range(30))
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 30, ' w', id % 7, ' w', id % 7) AS text")
+    h, _, _ = words([" ".join(names).encode()], decontaminate._BREAK)
+    vocabulary = np.sort(h)
+    found = decontaminate.hits(docs, vocabulary)
+    idf, total = decontaminate.inverse_frequencies(found, 30)
+    basis, values = decontaminate.latent_basis(found, decontaminate._rows([], idf), idf)
+    assert total == n and np.isclose((values**2).sum(), n, rtol=1e-4)
+    place = {w: int(np.searchsorted(vocabulary, x)) for w, x in zip(names, h, strict=True)}
+    a = np.zeros((210, 30))
+    for i in range(210):
+        for j, count in ((i % 30, 1), (i % 7, 2)):
+            a[i, place[f"w{j}"]] += count * idf[place[f"w{j}"]]
+    a *= np.sqrt(np.bincount(np.arange(n) % 210))[:, None] / np.linalg.norm(a, axis=1, keepdims=True)
+    want = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(values, want[: len(values)], rtol=1e-3) and np.allclose(basis.T @ basis, np.eye(len(values)), atol=1e-6)
+
+
+def test_products_of_frequent_and_rare_terms(monkeypatch):
+    monkeypatch.setattr(decontaminate, "COMMON", 6)
+    monkeypatch.setattr(decontaminate, "ROWS", 10)
+    rng = np.random.default_rng(2)
+    a = np.where(rng.random((57, 20)) < 0.3, rng.random((57, 20)), 0)
+    a[20:40, rng.permutation(20)[:10]] = 0
+    x = rng.normal(size=(20, 5)).astype(np.float32)
+    p = decontaminate.Products(x, rng.random(20))
+    for part in (a[:34], a[34:], np.zeros((3, 20))):
+        row, t = np.nonzero(part)
+        p.add(row, t, part[row, t], len(part))
+    assert np.allclose(p.result(), a.T @ (a @ x), rtol=1e-4, atol=1e-4)
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
