@@ -836,6 +836,20 @@ def test_pipeline(spark, sf):
     assert used <= least + 2
 
 
+def test_pipeline_fits_the_latent_space_on_all_rows(spark, tmp_path, monkeypatch):
+    """The stage's singular values hold every passage it was given, each of norm 1, also beyond 65,536 of them."""
+    import corpus_pipeline
+
+    n, fitted, keep = 300_000, [], decontaminate.latent_basis
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda *a: fitted.append(keep(*a)) or fitted[-1])
+    item = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(n).selectExpr("id AS doc_id", f"if(id = 77, '{item}', concat('w', id % 30, ' w', id % 7)) AS text")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in docs.join(left, "doc_id", "left_anti").collect()} == {77} and left.count() == n - 1
+    assert len(fitted) == 1 and (fitted[0][1] ** 2).sum() >= n * 0.999
+
+
 def test_entry_without_the_subpackage(tmp_path):
     import os
     import shutil
